@@ -7,8 +7,10 @@ share an id stay apart.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,9 +48,33 @@ def materialize(df: DataFrame) -> DataFrame:
     """Writes to the shared folder and reads again: cuts the lineage so that any executor may be lost."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
+    # Shuffle files of the finished job go when the driver collects its garbage: at once, not when its heap is full.
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python, once a session."""
+    sc = spark.sparkContext
+    if getattr(sc, "_lociweave_shipped", False):
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    target = os.path.join(tempfile.mkdtemp(prefix="lociweave-code-"), "lociweave_code.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, files in os.walk(package):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(package)))
+    sc.addPyFile(target)
+    sc._lociweave_shipped = True
+
+
+def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
+    ship_code(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """Bytes of all texts: sizes the chunks by the data, not by a setting."""
     return docs.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, mixing, quality
+from . import decontaminate, licenses, mixing, neardup, quality, repeats
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -29,3 +29,17 @@ def op9_licenses(spark, d):
 
 QUERIES = {f.__name__: f for f in (op2_decontaminate, op4_quality, op8_mix, op9_licenses)}
 ORACLES = {"op2_decontaminate": decontaminate.ORACLE, "op4_quality": quality.ORACLE, "op8_mix": mixing.ORACLE, "op9_licenses": licenses.ORACLE}
+
+
+def op5_near_dedup(spark, d):
+    return neardup.report(_read(spark, d, "documents"))
+
+
+QUERIES |= {f.__name__: f for f in (op5_near_dedup,)}
+
+
+def op7_repeats(spark, d):
+    return repeats.report(_read(spark, d, "documents"))
+
+
+QUERIES |= {f.__name__: f for f in (op7_repeats,)}
