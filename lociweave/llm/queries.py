@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, mixing, neardup, quality, repeats
+from . import decontaminate, licenses, lm, mixing, neardup, quality, repeats
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -43,3 +43,10 @@ def op7_repeats(spark, d):
 
 
 QUERIES |= {f.__name__: f for f in (op7_repeats,)}
+
+
+def op10_lm_score(spark, d):
+    return lm.report(_read(spark, d, "documents"))
+
+
+QUERIES |= {f.__name__: f for f in (op10_lm_score,)}
