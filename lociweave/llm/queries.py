@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, lm, mixing, neardup, quality, repeats
+from . import decontaminate, html_text, licenses, lm, mixing, neardup, packing, quality, repeats
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -50,3 +50,14 @@ def op10_lm_score(spark, d):
 
 
 QUERIES |= {f.__name__: f for f in (op10_lm_score,)}
+
+
+def op3_html_text(spark, d):
+    return html_text.extract(_read(spark, d, "pages"))
+
+
+def op6_pack(spark, d):
+    return packing.pack(_read(spark, d, "documents"))
+
+
+QUERIES |= {f.__name__: f for f in (op3_html_text, op6_pack)}
