@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, licenses, lm, mixing, neardup, packing, quality, repeats
+from . import decontaminate, html_text, licenses, lm, mixing, neardup, packing, quality, repeats, surrogates
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -61,3 +61,10 @@ def op6_pack(spark, d):
 
 
 QUERIES |= {f.__name__: f for f in (op3_html_text, op6_pack)}
+
+
+def op1_surrogates(spark, d):
+    return surrogates.report(_read(spark, d, "documents"))
+
+
+QUERIES |= {f.__name__: f for f in (op1_surrogates,)}
