@@ -1 +1,5 @@
-QUERIES, ORACLES = {}, {}
+"""All queries of the library and their SQL."""
+
+from .plans.queries import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
