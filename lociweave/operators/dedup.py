@@ -155,7 +155,7 @@ def complexity(counts: DataFrame) -> DataFrame:
 
 def report_lines(report: DataFrame) -> DataFrame:
     """The complexity report as tab-separated lines; an empty label is --, a missing estimate N/A."""
-    number = lambda c, d: F.coalesce(F.format_string(f"%.{d}f", F.col(c)), F.lit("N/A"))
+    number = lambda c, d: F.when(F.col(c).isNull(), "N/A").otherwise(F.format_string(f"%.{d}f", F.col(c)))
     whole = [F.col(c).cast("string") for c in ("n_in", "n_out", "out_mq20", "single_mq20")]
     return report.select(F.concat_ws("\t", F.when(F.col("library") == "", "--").otherwise(F.col("library")), *whole, number("unseen", 0), number("molecules", 0), number("unique_pct", 1), number("exhausted_pct", 1)).alias("line"))
 
