@@ -7,6 +7,7 @@ share an id stay apart.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -47,10 +48,19 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame) -> DataFrame:
     """Writes to the shared folder and reads again: cuts the lineage so that any executor may be lost."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
+    release(spark)
     df.write.option("compression", "zstd").parquet(path)
-    # Shuffle files of the finished job go when the driver collects its garbage: at once, not when its heap is full.
+    schema = df.schema
+    del df
+    release(spark)
+    return spark.read.schema(schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of jobs that are done: Spark deletes them once the driver has collected what refers to them, which it would otherwise do only when its heap is full."""
+    spark.range(1).collect()  # what ran last is still referred to
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def ship_code(spark: SparkSession) -> None:
@@ -139,7 +149,7 @@ def buffer_of(array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8))[at[0] : at[-1]], at - at[0]
 
 
-def slices(offsets: np.ndarray, most: int = 4 << 20) -> list[tuple[int, int]]:
+def slices(offsets: np.ndarray, most: int = 1 << 20) -> list[tuple[int, int]]:
     """Row ranges of about ``most`` bytes; a longer text has its own range."""
     out, i, n = [], 0, len(offsets) - 1
     while i < n:

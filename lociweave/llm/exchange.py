@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 
 from .common import text_bytes
 
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 4 << 20
 
 
-def parts(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> int:
-    """Chunks, and buckets, for these documents."""
-    return max(1, -(-text_bytes(docs) // chunk_bytes))
+def parts(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> tuple[int, int]:
+    """Chunks and buckets for these documents. A bucket sees about two chunks' worth of keys."""
+    chunks = max(1, -(-text_bytes(docs) // chunk_bytes))
+    return chunks, -(-chunks // 2)
 
 
 def chunk_of(key: Column, n: int) -> Column:

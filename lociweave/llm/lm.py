@@ -184,13 +184,12 @@ def _score(weights: np.ndarray):
 def score(docs: DataFrame, folds: int = 10) -> DataFrame:
     """doc_id, text_hash, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     ship_code(docs.sparkSession)
-    n = parts(docs)
+    chunks, n = parts(docs)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == 0, F.lit(False))
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"), held.alias("held")).withColumn("chunk", chunk_of(F.col("doc_id"), n))
-    replies = src.groupBy("chunk").applyInArrow(_ask(n), _ASK_SQL).groupBy("bucket").applyInArrow(_answer, _REPLY_SQL)
-    replies = materialize(replies)
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"), held.alias("held")).withColumn("chunk", chunk_of(F.col("doc_id"), chunks))
+    replies = materialize(src.groupBy("chunk").applyInArrow(_ask(n), _ASK_SQL).groupBy("bucket").applyInArrow(_answer, _REPLY_SQL))
     both = src.groupBy("chunk").cogroup(replies.groupBy("chunk"))
-    grid = both.applyInArrow(_grid, "b int, q2 int, q1 int, n long").groupBy("b", "q2", "q1").agg(F.sum("n").alias("n")).toPandas()
+    grid = materialize(both.applyInArrow(_grid, "b int, q2 int, q1 int, n long").groupBy("b", "q2", "q1").agg(F.sum("n").alias("n"))).toPandas()
     weights = learn(grid["b"].to_numpy(np.int64), grid["q2"].to_numpy(np.int64), grid["q1"].to_numpy(np.int64), grid["n"].to_numpy(np.float64))
     return both.applyInArrow(_score(weights), "doc_id long, text_hash long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
