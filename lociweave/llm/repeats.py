@@ -26,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import INVERSE, buffer_of, materialize, mix, powers, prefix_sums, range_hash, ship_code, slices
+from .common import BASE, INVERSE, buffer_of, materialize, mix, powers, prefix_sums, range_hash, ship_code, slices
 from .exchange import bucket_of, chunk_of, pack, parts, split, table, unpack
 
 GRAM = 16
+SUB = 8  # a bucket of contexts is worked off in as many parts, to bound memory
 LAST = np.iinfo(np.int64).max
 
 
@@ -90,7 +91,8 @@ class _Chunk:
         for i, j in slices(self.offsets, 1 << 20):
             base = self.offsets[i]
             h, at, lo, hi = anchors(self.data[base : self.offsets[j]], self.offsets[i : j + 1] - base, length)
-            got.append((h, at + base, lo + base, hi + base))
+            # Least hashes are small numbers; mixed again they spread over the buckets.
+            got.append((mix(h + BASE), at + base, lo + base, hi + base))
         self.h, self.at, self.lo, self.hi = (np.concatenate(x) for x in zip(*got)) if got else (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)
         self.row = np.searchsorted(self.offsets, self.lo, "right") - 1
         self.length = length
@@ -121,6 +123,8 @@ def _ids(column) -> np.ndarray:
 
 _MESSAGE = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("message", pa.binary())])
 _MESSAGE_SQL = "bucket int, chunk int, message binary"
+_PARTS = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("message", pa.list_(pa.binary()))])
+_PARTS_SQL = "bucket int, chunk int, message array<binary>"
 
 
 def _ask(length: int, n: int):
@@ -164,82 +168,92 @@ def _shared(t: pa.Table) -> pa.Table:
 def _messages(t: pa.Table, deltas: bool) -> list[list[np.ndarray]]:
     """A chunk's messages in order of bucket."""
     buckets = t["bucket"].to_numpy()
-    return [unpack(t["message"][int(i)].as_py(), deltas) for i in np.argsort(buckets, kind="stable")]
+    out = []
+    for i in np.argsort(buckets, kind="stable"):
+        m = t["message"][int(i)]
+        out += [unpack(x.as_py(), deltas) for x in (m if pa.types.is_list(m.type) else [m])]
+    return out
 
 
 def _send(length: int, n: int):
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
         shared = [x[0] for x in _messages(replies, True)]
         if not docs.num_rows or not shared:
-            return table({"bucket": [], "chunk": [], "message": []}, _MESSAGE)
+            return _PARTS.empty_table()
         c = _Chunk(docs["text"], length)
         use, number, example = c.contexts(np.concatenate(shared))
         least = np.full(len(example), LAST, np.int64)
         np.minimum.at(least, number, _ids(docs["doc_id"])[c.row[use]])
-        at = split(bucket_of(c.h[example], n), n)
+        at = split(bucket_of(c.h[example], n * SUB), n * SUB)
         size = c.hi[example] - c.lo[example] + length
         out = {"bucket": [], "chunk": [], "message": []}
+
+        def message(i: slice) -> bytes:
+            lo, sz = c.lo[example[i]], size[i]
+            ends = np.cumsum(sz)
+            index = np.arange(ends[-1] if len(ends) else 0) + np.repeat(lo - (ends - sz), sz)
+            return pack(least[i], sz.astype(np.int32), c.data[index])
+
         for b in range(n):
-            i = slice(at[b], at[b + 1])
-            if at[b + 1] > at[b]:
-                lo, sz = c.lo[example[i]], size[i]
-                ends = np.cumsum(sz)
-                index = np.arange(ends[-1]) + np.repeat(lo - (ends - sz), sz)
+            if at[(b + 1) * SUB] > at[b * SUB]:
                 out["bucket"].append(b)
                 out["chunk"].append(docs["chunk"][0].as_py())
-                out["message"].append(pack(least[i], sz.astype(np.uint8) if length + GRAM < 200 else sz.astype(np.int32), c.data[index]))
-        return table(out, _MESSAGE)
+                out["message"].append([message(slice(at[k], at[k + 1])) for k in range(b * SUB, (b + 1) * SUB)])
+        return table(out, _PARTS)
 
     return run
 
 
+def _least_of(got: list[list[np.ndarray]], length: int) -> list[np.ndarray]:
+    """Each window's least doc_id, for the contexts of each message in order."""
+    ids, sizes = np.concatenate([x[0] for x in got]), np.concatenate([x[1] for x in got]).astype(np.int64)
+    if not len(ids):
+        return [ids] * len(got)
+    ends = np.cumsum(sizes)
+    begin = ends - sizes
+    data = np.concatenate([x[2] for x in got])
+    key = np.zeros(len(sizes), np.uint64)
+    ranges = slices(np.concatenate([[0], ends]), 1 << 20)
+    for i, j in ranges:
+        key[i:j] = range_hash(prefix_sums(data[begin[i] : ends[j - 1]]), begin[i:j] - begin[i], ends[i:j] - begin[i])
+    _, pick, number = np.unique(mix(key + sizes.astype(np.uint64)), return_index=True, return_inverse=True)
+    low = np.full(len(pick), LAST, np.int64)
+    np.minimum.at(low, number, ids)
+    order = np.argsort(pick)
+    rank = np.empty(len(pick), np.int64)
+    rank[order] = np.arange(len(pick))
+    pick, low, number = pick[order], low[order], rank[number]
+    wins = sizes[pick] - length + 1
+    to = np.concatenate([[0], np.cumsum(wins)])
+    hashes = np.zeros(to[-1], np.uint64)
+    edge = np.searchsorted(pick, [i for i, _ in ranges] + [len(sizes)])
+    for (i, j), a, b in zip(ranges, edge[:-1], edge[1:]):
+        if b > a:
+            p = np.arange(to[a], to[b]) + np.repeat(begin[pick[a:b]] - begin[i] - to[a:b], wins[a:b])
+            hashes[to[a] : to[b]] = range_hash(prefix_sums(data[begin[i] : ends[j - 1]]), p, p + length)
+    owner = np.repeat(low, wins)
+    order = np.argsort(hashes, kind="stable")
+    s = hashes[order]
+    start = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+    best = np.empty(len(s), np.int64)
+    best[order] = np.repeat(np.minimum.reduceat(owner[order], start), np.diff(np.append(start, len(s))))
+    out, at = [], 0
+    for x in got:
+        num = number[at : at + len(x[0])]
+        at += len(num)
+        w = wins[num]
+        stop = np.cumsum(w)
+        out.append(best[np.arange(stop[-1] if len(stop) else 0) + np.repeat(to[num] - (stop - w), w)])
+    return out
+
+
 def _least(length: int):
     def run(t: pa.Table) -> pa.Table:
-        """Each window's least doc_id, for every context of every chunk in order."""
-        chunks, got = t["chunk"].to_pylist(), [unpack(m.as_py()) for m in t["message"]]
-        ids, sizes = np.concatenate([x[0] for x in got]), np.concatenate([x[1] for x in got]).astype(np.int64)
-        ends = np.cumsum(sizes)
-        begin = ends - sizes
-        data = np.concatenate([x[2] for x in got])
-        key, hashes = np.zeros(len(sizes), np.uint64), None
-        bounds = np.concatenate([[0], ends])
-        for i, j in slices(bounds, 1 << 20):
-            base = bounds[i]
-            key[i:j] = range_hash(prefix_sums(data[base : bounds[j]]), begin[i:j] - base, ends[i:j] - base)
-        _, pick, number = np.unique(mix(key + sizes.astype(np.uint64)), return_index=True, return_inverse=True)
-        low = np.full(len(pick), LAST, np.int64)
-        np.minimum.at(low, number, ids)
-        # Windows of distinct contexts.
-        order = np.argsort(pick)
-        rank = np.empty(len(pick), np.int64)
-        rank[order] = np.arange(len(pick))
-        pick, low, number = pick[order], low[order], rank[number]
-        wins = sizes[pick] - length + 1
-        to = np.concatenate([[0], np.cumsum(wins)])
-        hashes = np.zeros(to[-1], np.uint64)
-        edge = np.searchsorted(pick, [i for i, _ in slices(bounds, 1 << 20)] + [len(sizes)])
-        for (i, j), a, b in zip(slices(bounds, 1 << 20), edge[:-1], edge[1:]):
-            if b > a:
-                base = bounds[i]
-                sums = prefix_sums(data[base : bounds[j]])
-                p = np.arange(to[a], to[b]) + np.repeat(begin[pick[a:b]] - base - to[a:b], wins[a:b])
-                hashes[to[a] : to[b]] = range_hash(sums, p, p + length)
-        owner = np.repeat(low, wins)
-        order = np.argsort(hashes, kind="stable")
-        s = hashes[order]
-        start = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-        best = np.empty(len(s), np.int64)
-        best[order] = np.repeat(np.minimum.reduceat(owner[order], start), np.diff(np.append(start, len(s))))
-        out, at = {"bucket": [], "chunk": [], "message": []}, 0
-        for c, x in zip(chunks, got):
-            num = number[at : at + len(x[0])]
-            at += len(num)
-            w = wins[num]
-            stop = np.cumsum(w)
-            out["bucket"].append(t["bucket"][0].as_py())
-            out["chunk"].append(c)
-            out["message"].append(pack(best[np.arange(stop[-1]) + np.repeat(to[num] - (stop - w), w)]))
-        return table(out, _MESSAGE)
+        replies = [[] for _ in range(t.num_rows)]
+        for k in range(SUB):
+            for reply, x in zip(replies, _least_of([unpack(m[k].as_py()) for m in t["message"]], length)):
+                reply.append(pack(x))
+        return table({"bucket": t["bucket"].to_pylist(), "chunk": t["chunk"].to_pylist(), "message": replies}, _PARTS)
 
     return run
 
@@ -266,7 +280,7 @@ def _mark(length: int, with_text: bool):
                 p = (np.repeat(c.lo[u], w) + step)[hit]
                 np.add.at(cover, p, 1)
                 np.add.at(cover, p + length, -1)
-        gone = np.cumsum(cover[:-1]) > 0
+        gone = np.cumsum(cover[:-1], dtype=np.int32) > 0
         out = {f.name: [] for f in _RESULT}
         for r in range(docs.num_rows):
             a, b = c.offsets[r], c.offsets[r + 1]
@@ -287,13 +301,13 @@ def find(docs: DataFrame, length: int = 50, with_text: bool = False) -> DataFram
     """doc_id, text_hash, n_bytes, spans (begin and end of each removed run, alternating), kept_sha256, kept (remaining bytes) of every row."""
     spark = docs.sparkSession
     ship_code(spark)
-    n = parts(docs)
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).alias("text")).withColumn("chunk", chunk_of(F.col("doc_id"), n))
+    chunks, n = parts(docs)
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).alias("text")).withColumn("chunk", chunk_of(F.col("doc_id"), chunks))
     ask = src.groupBy("chunk").applyInArrow(_ask(length, n), _MESSAGE_SQL)
     shared = materialize(ask.groupBy("bucket").applyInArrow(_shared, _MESSAGE_SQL))
-    sent = src.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_send(length, n), _MESSAGE_SQL)
-    replies = materialize(sent.groupBy("bucket").applyInArrow(_least(length), _MESSAGE_SQL))
-    both = shared.withColumn("kind", F.lit(0)).unionByName(replies.withColumn("kind", F.lit(1)))
+    sent = src.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_send(length, n), _PARTS_SQL)
+    replies = materialize(sent.groupBy("bucket").applyInArrow(_least(length), _PARTS_SQL))
+    both = shared.withColumn("message", F.array("message")).withColumn("kind", F.lit(0)).unionByName(replies.withColumn("kind", F.lit(1)))
     mark = _mark(length, with_text)
 
     def finish(d: pa.Table, r: pa.Table) -> pa.Table:
@@ -308,9 +322,9 @@ def find(docs: DataFrame, length: int = 50, with_text: bool = False) -> DataFram
 def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     """docs with the repeated bytes cut from the texts (incomplete characters at the cuts are dropped), all other columns kept."""
     text = F.regexp_replace(F.decode("kept", "UTF-8"), "\uFFFD", "")
-    found = find(docs, length, True).where(F.size("spans") > 0).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_k"), text.alias("_t")).dropDuplicates(["_d", "_k"])
+    found = find(docs, length, True).where(F.size("spans") > 0).select(F.col("doc_id").alias("__lw_d"), F.col("text_hash").alias("__lw_k"), text.alias("__lw_t")).dropDuplicates(["__lw_d", "__lw_k"])
     cols = docs.columns
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_k")), "left").withColumn("text", F.coalesce("_t", "text")).select(*cols)
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__lw_d")) & (F.xxhash64("text") == F.col("__lw_k")), "left").withColumn("text", F.coalesce("__lw_t", "text")).select(*cols)
 
 
 def report(docs: DataFrame) -> DataFrame:
