@@ -79,20 +79,20 @@ def scan(docs: DataFrame, items: DataFrame, n: int = 10, broadcast_bytes: int =
 
 def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, mode: str = "document") -> DataFrame:
     """docs without hit documents (mode "document"), or with the hit words and the gaps after them cut from the texts ("span")."""
-    found = scan(docs, items, n).where("n_hit > 0").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_k"), F.col("spans").alias("_spans"))
-    on = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_k"))
+    found = scan(docs, items, n).where("n_hit > 0").select(F.col("doc_id").alias("__lw_d"), F.col("text_hash").alias("__lw_k"), F.col("spans").alias("__lw_spans"))
+    on = F.col("doc_id").eqNullSafe(F.col("__lw_d")) & (F.xxhash64("text") == F.col("__lw_k"))
     if mode == "document":
         return docs.join(found, on, "left_anti")
     if mode != "span":
         raise ValueError(mode)
-    found = found.dropDuplicates(["_d", "_k"])
+    found = found.dropDuplicates(["__lw_d", "__lw_k"])
     # Flags per word by one pass over the sorted spans would need state; a merged list of positions is as good.
-    hit = F.array_distinct(F.flatten(F.transform("_spans", lambda s: F.sequence(s["at"], s["at"] + s["len"] - 1))))
+    hit = F.array_distinct(F.flatten(F.transform("__lw_spans", lambda s: F.sequence(s["at"], s["at"] + s["len"] - 1))))
     parts, gaps = F.regexp_extract_all("text", F.lit(f"({ALNUM_ANY})"), 1), F.split("text", ALNUM_ANY)
-    cut = F.concat(F.element_at("_gaps", 1), F.array_join(F.transform("_parts", lambda w, i: F.when(F.array_contains("_hit", i), "").otherwise(F.concat(w, F.get("_gaps", i + 1)))), ""))
+    cut = F.concat(F.element_at("__lw_gaps", 1), F.array_join(F.transform("__lw_parts", lambda w, i: F.when(F.array_contains("__lw_hit", i), "").otherwise(F.concat(w, F.get("__lw_gaps", i + 1)))), ""))
     kept = docs.columns
-    out = docs.join(found, on, "left").withColumn("_hit", hit).withColumn("_parts", F.when(F.col("_k").isNotNull(), parts)).withColumn("_gaps", F.when(F.col("_k").isNotNull(), gaps))
-    return out.withColumn("text", F.when(F.col("_k").isNull(), F.col("text")).otherwise(cut)).select(*kept)
+    out = docs.join(found, on, "left").withColumn("__lw_hit", hit).withColumn("__lw_parts", F.when(F.col("__lw_k").isNotNull(), parts)).withColumn("__lw_gaps", F.when(F.col("__lw_k").isNotNull(), gaps))
+    return out.withColumn("text", F.when(F.col("__lw_k").isNull(), F.col("text")).otherwise(cut)).select(*kept)
 
 
 #: Words before lower-casing: the same characters and A-Z.

@@ -72,6 +72,7 @@ def _box(tag: str, attributes: str, up: _Box | None) -> _Box:
 def blocks(page: str) -> list[tuple[str, int, str, _Box]]:
     """(text, characters in links, tag, box) of each block with text, in page order."""
     out, parts, box, tag = [], [], _Box("", None, False, False), ""
+    own = box  # of the block: the box, or one for a block that is dropped itself
     links, in_link, at = 0, False, 0
 
     def flush():
@@ -79,7 +80,7 @@ def blocks(page: str) -> list[tuple[str, int, str, _Box]]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append((text, links, tag, box))
+                out.append((text, links, tag, own))
             parts, links = [], 0
 
     while True:
@@ -126,6 +127,10 @@ def blocks(page: str) -> list[tuple[str, int, str, _Box]]:
                         box = b.up
                 else:
                     box = _box(name, attributes, box)
+            own = box
+            if not closing and name not in _BOX and attributes:
+                b = _box(name, attributes, box)
+                own = b if b.drop else box
         elif name in ("wbr", "img", "input"):
             pass
     flush()

@@ -20,7 +20,7 @@ from .license_texts import KNOWN
 
 #: A copyright line: a mark or a year follows the word, so that "copyright holders" in a sentence stays. On lower-cased text.
 COPYRIGHT = r"(?:^|\n)[\x20\t*#/;-]*(?:copyright[\x20\t]*(?:\(c\)|©|[0-9]{4})|\(c\)[\x20\t]*[0-9]{4}|©)[^\n]*"
-RESERVED = r"(?:^|\n)[\x20\t*#/;-]*all rights reserved\.?[\x20\t]*(?:\n|$)"
+RESERVED = r"(?:^|\n)[\x20\t*#/;-]*all rights reserved\.?[\x20\t*/]*(?:\n|$)"
 #: Spellings that count as equal, as words of the normalised text.
 SPELLINGS = {"licence": "license", "licences": "licenses", "licenced": "licensed", "sublicence": "sublicense", "organisation": "organization", "acknowledgement": "acknowledgment", "merchantibility": "merchantability", "favour": "favor", "https": "http", "noncommercial": "non commercial", "centre": "center", "judgement": "judgment"}
 
@@ -67,8 +67,8 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def filter_licenses(docs: DataFrame, denied: list[str]) -> DataFrame:
     """docs without those whose text or notices carry a denied licence id; all columns kept."""
-    found = scan_keys(docs).where(F.arrays_overlap("ids", F.array(*map(F.lit, denied)))).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_k"))
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_k")), "left_anti") if denied else docs
+    found = scan_keys(docs).where(F.arrays_overlap("ids", F.array(*map(F.lit, denied)))).select(F.col("doc_id").alias("__lw_d"), F.col("text_hash").alias("__lw_k"))
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__lw_d")) & (F.xxhash64("text") == F.col("__lw_k")), "left_anti") if denied else docs
 
 
 def scan_keys(docs: DataFrame) -> DataFrame:

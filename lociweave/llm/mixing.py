@@ -98,13 +98,13 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """docs filtered and repeated: whole texts only, the document at the threshold if at least half of it is due. Texts are not shuffled."""
     sizes, t, few = plan(docs, **options)
     near = _extra(sizes, t, few).where(F.shiftright("h", 48 - BITS * LEVELS) == F.col("edge")).where(2 * F.col("extra") >= F.col("size")).where("size > 0")
-    near = near.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_k")).distinct().withColumn("_due", F.lit(1))
+    near = near.select(F.col("doc_id").alias("__lw_d"), F.col("text_hash").alias("__lw_k")).distinct().withColumn("__lw_due", F.lit(1))
     cols = docs.columns
-    side = t.select(F.col("source").alias("_s"), F.col("edge").alias("_edge"), F.col("full").alias("_full"))
-    d = docs.withColumn("_at", F.shiftright(place(), 48 - BITS * LEVELS)).join(F.broadcast(side) if few else side, F.col("source").eqNullSafe(F.col("_s")))
-    d = d.join(F.broadcast(near) if few else near, (F.col("_at") == F.col("_edge")) & F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_k")), "left")
-    copies = F.when(F.coalesce("text", F.lit("")).rlike(SPACED), F.col("_full") + F.when(F.col("_at") < F.col("_edge"), 1).otherwise(F.coalesce("_due", F.lit(0)))).otherwise(0)
-    return d.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*cols)
+    side = t.select(F.col("source").alias("__lw_s"), F.col("edge").alias("__lw_edge"), F.col("full").alias("__lw_full"))
+    d = docs.withColumn("__lw_at", F.shiftright(place(), 48 - BITS * LEVELS)).join(F.broadcast(side) if few else side, F.col("source").eqNullSafe(F.col("__lw_s")))
+    d = d.join(F.broadcast(near) if few else near, (F.col("__lw_at") == F.col("__lw_edge")) & F.col("doc_id").eqNullSafe(F.col("__lw_d")) & (F.xxhash64("text") == F.col("__lw_k")), "left")
+    copies = F.when(F.coalesce("text", F.lit("")).rlike(SPACED), F.col("__lw_full") + F.when(F.col("__lw_at") < F.col("__lw_edge"), 1).otherwise(F.coalesce("__lw_due", F.lit(0)))).otherwise(0)
+    return d.withColumn("__lw_copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*cols)
 
 
 ORACLE = r"""

@@ -175,9 +175,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
 
 def dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group, all columns kept. Of repeated rows one stays."""
-    good = near_duplicates(docs, width, percent).where("kept").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_k")).distinct()
-    keyed = docs.withColumn("_x", F.xxhash64("text"))
-    return keyed.join(good, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_x") == F.col("_k")), "left_semi").dropDuplicates(["doc_id", "_x"]).drop("_x")
+    good = near_duplicates(docs, width, percent).where("kept").select(F.col("doc_id").alias("__lw_d"), F.col("text_hash").alias("__lw_k")).distinct()
+    keyed = docs.withColumn("__lw_x", F.xxhash64("text"))
+    return keyed.join(good, F.col("doc_id").eqNullSafe(F.col("__lw_d")) & (F.col("__lw_x") == F.col("__lw_k")), "left_semi").dropDuplicates(["doc_id", "__lw_x"]).drop("__lw_x")
 
 
 def report(docs: DataFrame) -> DataFrame:

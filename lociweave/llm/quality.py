@@ -107,22 +107,22 @@ def bounds(sketch: DataFrame) -> DataFrame:
     )
 
 
+def resolve(b: DataFrame) -> DataFrame:
+    """k_lang, k_source, b: the bounds that hold for each group, its own, its language's or those of all."""
+    own = F.struct("size", *[c for c in b.columns if c[:3] in ("hi_", "lo_")])
+    at = lambda level, w: F.max(F.when(F.col("level") == level, own)).over(w)
+    d = b.withColumns({"b0": own, "b1": at(1, Window.partitionBy("lang")), "b2": at(2, Window.partitionBy())}).where("level = 0")
+    enough = lambda k: F.when(F.col(f"b{k}.size") >= MIN_GROUP, F.col(f"b{k}"))
+    return d.select(F.col("lang").alias("k_lang"), F.col("source").alias("k_source"), F.coalesce(enough(0), enough(1), F.col("b2")).alias("b"))
+
+
 def judge(docs: DataFrame, window: int = 8) -> DataFrame:
     """Numbers, base_failed and kept of every document. The numbers are written once; texts are read once."""
     d = _ratios(materialize(measure(docs, window)))
-    b = materialize(bounds(sketches(d)))
-    few = b.count() <= BROADCAST_ROWS
-    maybe = F.broadcast if few else (lambda x: x)
-    cols = ["size"] + [c for c in b.columns if c[:3] in ("hi_", "lo_")]
-    for level, keys in ((0, ["lang", "source"]), (1, ["lang"]), (2, [])):
-        side = b.where(F.col("level") == level).select(*[F.col(k).alias(f"k_{k}") for k in keys], F.struct(*cols).alias(f"b{level}"))
-        on = F.lit(True)
-        for k in keys:
-            on = on & F.col(k).eqNullSafe(F.col(f"k_{k}"))
-        # The last level is one row.
-        d = d.join(maybe(side) if keys else F.broadcast(side), on, "left").drop(*[f"k_{k}" for k in keys])
-    enough = lambda k: F.when(F.col(f"b{k}.size") >= MIN_GROUP, F.col(f"b{k}"))
-    d = d.withColumn("b", F.coalesce(enough(0), enough(1), F.col("b2")))
+    b = materialize(resolve(bounds(sketches(d))))
+    side = F.broadcast(b) if b.count() <= BROADCAST_ROWS else b
+    # A group without bounds has no document that passes the base rules.
+    d = d.join(side, F.col("lang").eqNullSafe(F.col("k_lang")) & F.col("source").eqNullSafe(F.col("k_source")), "left")
     fine = F.lit(True)
     for r in RATIOS:
         fine = fine & (F.col(r) <= F.col(f"b.hi_{r}"))
@@ -133,8 +133,8 @@ def judge(docs: DataFrame, window: int = 8) -> DataFrame:
 
 def filter_quality(docs: DataFrame) -> DataFrame:
     """docs without those that the rules reject, all columns kept."""
-    good = judge(docs).where("kept").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_k")).distinct()
-    return docs.join(good, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_k")), "left_semi")
+    good = judge(docs).where("kept").select(F.col("doc_id").alias("__lw_d"), F.col("text_hash").alias("__lw_k")).distinct()
+    return docs.join(good, F.col("doc_id").eqNullSafe(F.col("__lw_d")) & (F.xxhash64("text") == F.col("__lw_k")), "left_semi")
 
 
 def report(docs: DataFrame) -> DataFrame:

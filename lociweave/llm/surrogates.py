@@ -43,7 +43,7 @@ _FIND = re.compile(
     r"|(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\w]|\.\d))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<card>(?<![\w.-])\d{4}(?P<sep>[ -]?)\d{4}(?P=sep)\d{4}(?P=sep)\d{1,7}(?![\w-])|(?<![\w.-])\d{13,19}(?![\w-]))"
-    r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}|0\d{2,4}[ /-]\d{3,4}[ -]?\d{3,4})(?![\w-]))"
+    r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?\(\d{1,4}\)[ .-]?\d{2,4}[ .-]?\d{3,4}|\+\d{1,3}[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}|0\d{2,4}[ /-]\d{3,4}[ -]?\d{3,4})(?![\w-]|\.\d))"
 )
 _PERSON = re.compile(rf"(?:(?P<title>(?:{_title})\.?)[ \t]+(?P<after>{_CAP}(?: {_CAP})?)|(?P<given>{_given}) (?P<family>{_CAP}))(?!\w)")
 #: Without one of these a line has no entity but names; the long pattern is for lines with them only.
@@ -64,7 +64,7 @@ def _numbers(text: str):
         begin, end = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.start())
         at = end = len(text) if end < 0 else end
         for m in _FIND.finditer(text, begin, end):
-            kind = next(k for k in ("email", "secret", "quoted", "iban", "ip", "ssn", "card", "phone") if m[k])
+            kind = next(k for k in ("email", "quoted", "secret", "iban", "ip", "ssn", "card", "phone") if m[k])
             a, b = m.span(kind)
             s = m[kind]
             if kind == "quoted":
