@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..shipping import ship_code
+
 _OPS = re.compile(r"(\d+)([MIDNSHP=X])")
 
 
@@ -56,6 +58,8 @@ def aligned_pairs(seq: str, cigar: str, md: str) -> list[tuple[str, str]]:
 def deaminated(seq: Column, cigar: Column, md: Column, n: int) -> Column:
     """C read as T among the first or last n pairs, or G read as A among the last n; false without MD."""
 
+    ship_code()
+
     @F.pandas_udf("boolean")
     def run(s: pd.Series, c: pd.Series, m: pd.Series) -> pd.Series:
         def one(seq, cigar, md):

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..shipping import ship_code
 from ..functions.alignment import format_cigar, parse_cigar
 
 
@@ -102,6 +103,8 @@ def wrap(df: DataFrame, lengths: dict[int, int]) -> DataFrame:
         return df
     natural = F.create_map(*[F.lit(x) for kv in lengths.items() for x in kv])[F.col("rname_id")]
 
+    ship_code(df.sparkSession)
+
     @F.pandas_udf("array<struct<pos:int,cigar:string>>")
     def pieces(pos: pd.Series, cigar: pd.Series, n: pd.Series) -> pd.Series:
         return pd.Series([[{"pos": p, "cigar": c}] if pd.isna(k) or p is None or p < 0 or not c else [{"pos": a, "cigar": b} for a, b in split_cigar(c, int(p), int(k))] for p, c, k in zip(pos, cigar, n)])

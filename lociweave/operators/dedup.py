@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import schema as S
+from ..shipping import ship_code
 from ..functions.alignment import aligned_length
 
 HISTOGRAM_SIZE = 1024
@@ -139,6 +140,8 @@ def estimate(total: float, singles: float) -> float | None:
 def complexity(counts: DataFrame) -> DataFrame:
     """library_counts with unseen and all molecules, unique and exhausted percentages; null where there is no estimate. One row per library."""
 
+    ship_code(counts.sparkSession)
+
     @F.pandas_udf("double")
     def est(total: pd.Series, singles: pd.Series) -> pd.Series:
         return pd.Series([estimate(t, s) for t, s in zip(total, singles)], dtype="float64")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..shipping import ship_code
 
 ADAPTERS = ("AGATCGGAAGAGCACACGTCTGAACTCCAGTCAC", "AGATCGGAAGAGCGTCGTGTAGGGAAAGAGTGTA")
 _COMPLEMENT = str.maketrans("ACGTNacgtn", "TGCANtgcan")
@@ -95,6 +96,8 @@ def merge(pairs: DataFrame, low: int = 20, high: int = 200, adapters: tuple[str,
     second best) and YN (margin to not merging); trimmed single reads have FF 1.
     """
 
+    ship_code(pairs.sparkSession)
+
     @F.pandas_udf(_OUT)
     def run(s1: pd.Series, q1: pd.Series, s2: pd.Series, q2: pd.Series) -> pd.Series:
         def one(a, qa, b, qb):

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .. import schema as S
+from ..shipping import ship_code
 
 _SCHEMA = "qname string, description string, seq string, qual string, file_ordinal int, rec_no bigint"
 
@@ -98,6 +99,7 @@ class FastqSource(DataSource):
 
 def read_fastq(spark: SparkSession, path: str, warts: bool = True) -> DataFrame:
     """Unaligned records of FastQ or FastA files, with what their names say in flags and tags."""
+    ship_code(spark)
     spark.dataSource.register(FastqSource)
     df = spark.read.format("fastq").load(path)
     df = df.withColumns({"flag": F.lit(S.UNMAPPED), "tags": F.map_from_entries(F.array().cast("array<struct<key:string,value:struct<t:string,i:bigint,f:double,s:string>>>"))})

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..shipping import ship_code
+
 
 def drop_duplicates(stream: DataFrame, key: list[str], time: str, delay: str) -> DataFrame:
     """The first record of each key; keys are forgotten when the watermark has passed them."""
@@ -36,6 +38,8 @@ _WAITING = T.StructType([T.StructField("flag", T.IntegerType()), T.StructField("
 def mate(stream: DataFrame, time: str, delay: str) -> DataFrame:
     """qname, first_pos, second_pos, kind: pairs as soon as both mates are there, widows when the watermark has passed them."""
 
+    ship_code(stream.sparkSession)
+
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             flag, pos = state.get
