@@ -26,6 +26,9 @@ ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+_tables: list[str] = []
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else; ``lower`` does the same, faster, where all is ASCII."""
     return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
@@ -42,7 +45,17 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="lociweave-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    _tables.append(path)
+    return path
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Deletes all tables that this process has materialized; results that haven't been written yet need them."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _tables:
+        path = jvm.org.apache.hadoop.fs.Path(_tables.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ _CAP = r"[^\W\d_a-zà-öø-ÿ][^\W\d_]+(?:-[^\W\d_]+)?"
 _FIND = re.compile(
     r"(?P<email>(?<![\w.+-])[A-Za-z0-9][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
     r"|(?P<secret>(?<![\w-])(?:AKIA[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9]{20,}|xox[abp]-[A-Za-z0-9-]{10,}|eyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]{5,}|(?:[0-9a-f]{32,}|[0-9A-F]{32,}))(?![\w-])"
-    r"|(?i:(?<![a-z])(?:token|secret|api[_-]?key|apikey|password|passwd|pwd)[ \t]*[=:][ \t]*[\"'])(?P<quoted>[^\"'\s]{6,})(?=[\"']))"
+    r"|(?i:(?<![a-z])(?:token|secret|api[_-]?key|apikey|access[_-]?key|password|passwd|pwd)[ \t]*[=:][ \t]*(?:[\"'](?P<quoted>[^\"'\s]{6,})(?=[\"'])|(?P<bare>(?=[^\s]*\d)[A-Za-z0-9_+/=.-]*[A-Za-z0-9_+/=-]{6})(?![A-Za-z0-9]))))"
     r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
     r"|(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\w]|\.\d))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
@@ -64,10 +64,10 @@ def _numbers(text: str):
         begin, end = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.start())
         at = end = len(text) if end < 0 else end
         for m in _FIND.finditer(text, begin, end):
-            kind = next(k for k in ("email", "quoted", "secret", "iban", "ip", "ssn", "card", "phone") if m[k])
+            kind = next(k for k in ("email", "quoted", "bare", "secret", "iban", "ip", "ssn", "card", "phone") if m[k])
             a, b = m.span(kind)
             s = m[kind]
-            if kind == "quoted":
+            if kind in ("quoted", "bare"):
                 kind = "secret"
             if kind == "email":
                 norm = s.lower()

@@ -400,9 +400,27 @@ def test_keys_matter(table):
     assert a != b
 
 
+@pytest.mark.parametrize(("text", "found"), [
+    ("x password=e3b3ed3cc8548923d6 y", "e3b3ed3cc8548923d6"), ("PASSWORD=45BB0D53635BF1B89D!!", "45BB0D53635BF1B89D"), ("password: required here", None), ("pwd = abc12345. End", "abc12345"),
+    ("+1 (826) 555-4081 190.137.223.204 du", "+1 (826) 555-4081"), ("version 4.0 of 2.0 and 3", None), ("call 999 or 12.5 % of 1000", None), ("9233A8ECF7C5B09FE5949719B6B82BC439E9329B!!", "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"),
+])
+def test_finding_entities(text, found):
+    got = surrogates.find(text)
+    assert (text[got[0][0] : got[0][1]] if got else None) == found
+
+
 # ---- Common ------------------------------------------------------------------------------------------
 
 
+def test_materialized_tables(spark):
+    df = common.materialize(spark.range(5).withColumnRenamed("id", "n"))
+    assert df.count() == 5 and common._tables
+    common.drop_tables(spark)
+    assert not common._tables
+    with pytest.raises(Exception, match="(?i)not exist|not found"):
+        spark.read.parquet(df.inputFiles()[0]).count()
+
+
 def test_words_agree_with_the_pattern(rows):
     import pyarrow as pa
 
