@@ -22,6 +22,9 @@ SELECT base.*,
   CASE WHEN flag % 2 = 0 THEN NULL WHEN xm = 10 THEN 0 WHEN ord % 2 = 1 THEN lead(rname_id) OVER w ELSE lag(rname_id) OVER w END AS mrnm_id,
   CASE WHEN flag % 2 = 0 THEN -1 WHEN xm = 9 THEN 0 WHEN ord % 2 = 1 THEN coalesce(lead(pos) OVER w, -1) ELSE coalesce(lag(pos) OVER w, -1) END AS mpos
 FROM base WINDOW w AS (PARTITION BY qname ORDER BY ord)""",
+    "sequences": """
+SELECT reads.*, translate(substr(md5(concat(qname, '/', ord)), 1, 20), '0123456789abcdef', 'ACGTACGTACGTACGT') AS seq, translate(substr(md5(concat(ord, '.', qname)), 1, 20), '0123456789abcdef', '##+-.5:=?@BDFGHI') AS qual,
+  CASE WHEN xm % 5 = 0 THEN '12M2I6M' ELSE '20M' END AS cigar FROM reads""",
     "regions": """
 SELECT concat('o', o_orderkey) AS name, CAST(o_custkey % 5 AS INT) AS chrom, CASE o_orderstatus WHEN 'F' THEN '+' WHEN 'O' THEN '-' ELSE '*' END AS strand,
   CAST((o_orderkey * 13) % 2100 AS INT) AS r_start, CAST((o_orderkey * 13) % 2100 + 1 + o_orderkey % 50 AS INT) AS r_end
@@ -40,13 +43,15 @@ FROM orders CROSS JOIN (SELECT 1 AS ordinal UNION ALL SELECT 2 UNION ALL SELECT
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.sql(re.sub(r"(?<=FROM )(lineitem|orders|part)\b", lambda m: f"parquet.`{sf_dir}/{m[1]}.parquet`", VIEWS[name]))
+    text = VIEWS[name].replace("FROM reads", f"FROM ({VIEWS['reads']}) AS reads")
+    return spark.sql(re.sub(r"(?<=FROM )(lineitem|orders|part)\b", lambda m: f"parquet.`{sf_dir}/{m[1]}.parquet`", text))
 
 
-def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """reads with the tags and columns of a record."""
-    return view(spark, sf_dir, "reads").selectExpr(
-        "qname", "flag", "rname_id", "pos", "mapq", "mrnm_id", "mpos", "0 as isize", "seq_len", "rg", "ord", "cast(ord as bigint) as rec_no", "0 as file_ordinal", "xm", "xo",
+def records(spark: SparkSession, sf_dir: str, sequences: bool = False) -> DataFrame:
+    """reads with the tags and columns of a record, and with sequences if asked for."""
+    more = ["seq", "qual", "cigar"] if sequences else []
+    return view(spark, sf_dir, "sequences" if sequences else "reads").selectExpr(
+        *more, "qname", "flag", "rname_id", "pos", "mapq", "mrnm_id", "mpos", "0 as isize", "seq_len", "rg", "ord", "cast(ord as bigint) as rec_no", "0 as file_ordinal", "xm", "xo",
         """map('RG', named_struct('t', 'Z', 'i', cast(null as bigint), 'f', cast(null as double), 's', rg), 'XM', named_struct('t', 'i', 'i', cast(xm as bigint), 'f', cast(null as double), 's', cast(null as string)),
         'XO', named_struct('t', 'i', 'i', cast(xo as bigint), 'f', cast(null as double), 's', cast(null as string))) as tags""",
     )
@@ -54,7 +59,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def with_views(sql: str) -> str:
     """SQL with the views that it names as common table expressions."""
-    used = [n for n in VIEWS if re.search(rf"\b{n}\b", sql)]
+    used = [n for n in VIEWS if re.search(rf"\b{n}\b", sql) or n == "reads" and "sequences" in sql]
     views = ", ".join(f"{n} AS ({VIEWS[n]})" for n in used)
     for head in ("WITH RECURSIVE ", "WITH "):
         if sql.lstrip().startswith(head):

@@ -65,6 +65,18 @@ def run_ids(df: DataFrame, key: str, order: list[str], within: list[str]) -> Dat
     return df.withColumn("_new", new).withColumn("run", F.sum("_new").over(w)).drop("_new")
 
 
+def count_groups(df: DataFrame, key: str) -> DataFrame:
+    """How many keys there are."""
+    return df.agg(F.count_distinct(key).alias("groups"))
+
+
+def ensure_sorted(df: DataFrame, key: str, within: str = "file_ordinal", order: str = "rec_no") -> DataFrame:
+    """df; a record whose key is smaller than that of the one before it is an error."""
+    before = F.lag(key).over(Window.partitionBy(within).orderBy(order))
+    wrong = F.raise_error(F.concat(F.lit("not sorted: "), F.col(key).cast("string"))).cast(df.schema[key].dataType)
+    return df.withColumn(key, F.when(before > F.col(key), wrong).otherwise(F.col(key)))
+
+
 def sample_groups(df: DataFrame, key: str, m: int, seed: str = "") -> DataFrame:
     """All records of exactly m keys, chosen by a hash of key and seed; fewer keys than m are an error."""
     keys = df.select(key).distinct()

@@ -217,6 +217,12 @@ def test_ranges_and_sorting(record):
         sampling.parse_range("x")
 
 
+def test_sort_check(record):
+    assert sampling.ensure_sorted(record([{"qname": "a"}, {"qname": "b"}, {"qname": "b"}]), "qname").count() == 3
+    with pytest.raises(Exception, match="not sorted: a"):
+        sampling.ensure_sorted(record([{"qname": "b"}, {"qname": "a"}]), "qname").collect()
+
+
 def test_header_merge(record, spark):
     refs = spark.createDataFrame([(0, "a", 1), (1, "b", 1)], S.REFS)
     df = record([{"rname_id": 1, "mrnm_id": None}])
