@@ -26,9 +26,8 @@ def expand_strand(df: DataFrame) -> DataFrame:
 
 
 def symbols(annotations: DataFrame, order: list[str]) -> DataFrame:
-    """name, sym: names by first appearance."""
-    first = annotations.groupBy("name").agg(F.min(F.struct(*order)).alias("o"))
-    return first.select("name", F.dense_rank().over(Window.orderBy("o", "name")).alias("sym"))
+    """name, sym: where each name appears first. It orders the names as numbers would, without a sort of all of them."""
+    return annotations.groupBy("name").agg(F.min(F.struct(*order)).alias("sym"))
 
 
 def index(annotations: DataFrame, order: list[str], start: str = "a_start", end: str = "a_end") -> DataFrame:
@@ -131,7 +130,7 @@ def annotate(regions: DataFrame, annotations: DataFrame, mode: str = "inclusive"
         got = over.where(full if mode == "covered" else ~full)
         # An island that covers a region is the only one of its name that touches it, so "not covering" may be asked of each.
         got = got.groupBy(*by).agg(F.collect_set(pair).alias("h"))
-    out = q.join(got.drop("_copies"), key, "left").select(*key, "_copies", "chrom", "strand", "b", "t", F.coalesce("h", F.array().cast("array<struct<sym:int,name:string>>")).alias("h"))
+    out = q.join(got.drop("_copies"), key, "left").select(*key, "_copies", "chrom", "strand", "b", "t", F.coalesce("h", F.array().cast(got.schema["h"].dataType)).alias("h"))
     near, distance = F.lit(None).cast("string"), F.lit(None).cast("int")
     if mode == "nearest":
         missed = expand_strand(out.where(F.size("h") == 0).select(*key, "chrom", "strand", "b", "t"))

@@ -59,20 +59,21 @@ def _pos5(r: str, fields: list[str]) -> Column:
     return F.when(S.bit(F.col(f"{r}.flag"), S.REVERSED), F.col(f"{r}.pos") + length).otherwise(F.col(f"{r}.pos"))
 
 
-def _computed(a: str, b: str, fields: list[str]) -> tuple[Column, Column]:
-    """The flag and insert size that a should have."""
+def _mask(where: Column, mask: int) -> Column:
+    return F.when(where, mask).otherwise(0)
+
+
+def _flag(a: str, b: str) -> Column:
+    """The flag that a should have, but for whether the pair is a proper one."""
     fa, fb = F.col(f"{a}.flag"), F.col(f"{b}.flag")
-    f = F.when(S.bit(fb, S.FAILED), fa.bitwiseOR(S.FAILED)).otherwise(fa)
-    f = F.when(S.bit(fb, S.UNMAPPED), f.bitwiseOR(S.MATE_UNMAPPED)).otherwise(S.clear(f, S.MATE_UNMAPPED))
-    f = F.when(S.bit(fb, S.REVERSED), f.bitwiseOR(S.MATE_REVERSED)).otherwise(S.clear(f, S.MATE_REVERSED))
-    f = F.when(F.col(f"{b}.rname_id").isNull(), f.bitwiseOR(S.MATE_UNMAPPED)).otherwise(f)
-    f = F.when(F.col(f"{a}.rname_id").isNull(), f.bitwiseOR(S.UNMAPPED)).otherwise(f)
-    well = ~S.bit(f, S.UNMAPPED) & ~S.bit(f, S.MATE_UNMAPPED) & F.col(f"{a}.rname_id").eqNullSafe(F.col(f"{b}.rname_id"))
-    return F.when(well, f).otherwise(S.clear(f, S.PROPER)), F.when(well, _pos5(b, fields) - _pos5(a, fields)).otherwise(0)
+    out = S.clear(fa, S.MATE_UNMAPPED | S.MATE_REVERSED).bitwiseOR(fb.bitwiseAND(S.FAILED)).bitwiseOR(_mask(S.bit(fb, S.REVERSED), S.MATE_REVERSED))
+    out = out.bitwiseOR(_mask(S.bit(fb, S.UNMAPPED) | F.col(f"{b}.rname_id").isNull(), S.MATE_UNMAPPED))
+    return out.bitwiseOR(_mask(F.col(f"{a}.rname_id").isNull(), S.UNMAPPED))
 
 
-def _masked(f: Column) -> Column:
-    return F.when(S.bit(f, S.MATE_UNMAPPED), S.clear(f, S.FAILED | S.MATE_REVERSED)).otherwise(S.clear(f, S.FAILED))
+def _compared(f: Column) -> Column:
+    """A flag without what may be wrong in a common way."""
+    return f.bitwiseAND(F.when(S.bit(f, S.MATE_UNMAPPED), ~(S.FAILED | S.MATE_REVERSED)).otherwise(~S.FAILED))
 
 
 def repair(pairs: DataFrame, legacy_fflag: bool = False) -> DataFrame:
@@ -83,27 +84,34 @@ def repair(pairs: DataFrame, legacy_fflag: bool = False) -> DataFrame:
     original does.
     """
     fields = pairs.select("r1.*").columns
-    new = {}
-    for a, b, fix in (("r1", "r2", "fix1"), ("r2", "r1", "fix2")):
-        flag, isize = _computed(a, b, fields)
-        old = F.col(f"{a}.flag")
-        major = _masked(old) != _masked(flag)
+    columns = pairs.columns
+    # In steps, so that what is used several times is computed once and the generated code stays small.
+    mates = (("r1", "r2", "1"), ("r2", "r1", "2"))
+    df = pairs.withColumns({f"_f{i}": _flag(a, b) for a, b, i in mates} | {f"_p{i}": _pos5(a, fields) for a, _, i in mates})
+    well = (F.col("_f1").bitwiseAND(S.UNMAPPED | S.MATE_UNMAPPED) == 0) & F.col("r1.rname_id").eqNullSafe(F.col("r2.rname_id"))
+    df = df.withColumns({"_well": well, "_size": F.col("_p2") - F.col("_p1")})
+    df = df.withColumns({f"_f{i}": F.col(f"_f{i}").bitwiseAND(F.when(F.col("_well"), -1).otherwise(~S.PROPER)) for _, _, i in mates} | {"_size": F.when(F.col("_well"), F.col("_size")).otherwise(0)})
+    df = df.withColumns({f"_major{i}": _compared(F.col(f"{a}.flag")) != _compared(F.col(f"_f{i}")) for a, _, i in mates})
+    both = {k: F.greatest(S.tag_string(F.col("r1.tags"), k), S.tag_string(F.col("r2.tags"), k)) for k in INDEX_TAGS} if "tags" in fields else {}
+    if both:
+        df = df.withColumn("_ixs", F.struct(*[v.alias(k) for k, v in both.items()]))
+        df = df.withColumns({f"_ixs{i}": S.any_of([S.tag_string(F.col(f"{a}.tags"), k) != F.col(f"_ixs.{k}") for k in INDEX_TAGS]) for a, _, i in mates})
+    two, new = F.col("kind") == "pair", {}
+    for a, b, i in mates:
+        old, flag, major = F.col(f"{a}.flag"), F.col(f"_f{i}"), F.col(f"_major{i}")
+        isize = F.col("_size") if i == "1" else -F.col("_size")
         common = (old != flag) & ~major
         fixes = {
             "mrnm": ~F.col(f"{a}.mrnm_id").eqNullSafe(F.col(f"{b}.rname_id")), "mpos": F.col(f"{a}.mpos") != F.col(f"{b}.pos"), "isize": F.col(f"{a}.isize") != isize,
             "flags": major, "fflag": ~common if legacy_fflag else common,
         }
-        r = F.col(a).withField("mrnm_id", F.col(f"{b}.rname_id")).withField("mpos", F.col(f"{b}.pos")).withField("isize", isize.cast("int"))
-        r = r.withField("flag", F.when(major if legacy_fflag else old != flag, flag).otherwise(old).cast("int"))
-        if "tags" in fields:
-            both = {k: F.greatest(S.tag_string(F.col("r1.tags"), k), S.tag_string(F.col("r2.tags"), k)) for k in INDEX_TAGS}
-            wrong = S.any_of([S.tag_string(F.col(f"{a}.tags"), k) != v for k, v in both.items()])
-            fixes["ixs"] = wrong
-            r = r.withField("tags", F.when(wrong, S.put_tags(F.col(f"{a}.tags"), {k: S.tag_text(v) for k, v in both.items()})).otherwise(F.col(f"{a}.tags")))
-        two = F.col("kind") == "pair"
-        new[a] = F.when(two, r).otherwise(F.col(a))
-        new[fix] = F.when(two, F.struct(*[v.alias(k) for k, v in fixes.items()]))
-    return pairs.withColumns(new)
+        values = {"mrnm_id": F.col(f"{b}.rname_id"), "mpos": F.col(f"{b}.pos"), "isize": isize.cast("int"), "flag": F.when(major, flag).otherwise(old).cast("int") if legacy_fflag else flag.cast("int")}
+        if both:
+            fixes["ixs"] = F.col(f"_ixs{i}")
+            values["tags"] = F.when(F.col(f"_ixs{i}"), S.put_tags(F.col(f"{a}.tags"), {k: S.tag_text(F.col(f"_ixs.{k}")) for k in INDEX_TAGS})).otherwise(F.col(f"{a}.tags"))
+        new[a] = F.when(two, F.struct(*[values.get(c, F.col(f"{a}.{c}")).alias(c) for c in fields])).otherwise(F.col(a))
+        new[f"fix{i}"] = F.when(two, F.struct(*[v.alias(k) for k, v in fixes.items()]))
+    return df.withColumns(new).select(*columns, "fix1", "fix2")
 
 
 def settle_widows(pairs: DataFrame, kill: str = "none") -> DataFrame:
