@@ -47,8 +47,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     all_ = Window.partitionBy()
     s = s.withColumn("level", (share * F.sum("source_size").over(all_) - F.coalesce(F.sum("most").over(by), F.lit(0))) / (F.sum("weight").over(all_) - F.coalesce(F.sum("weight").over(by), F.lit(0))))
     s = s.withColumn("open", F.col("most") / F.col("weight") > F.col("level"))
-    s = s.withColumn("level", F.min(F.when(F.col("open"), F.col("level"))).over(all_))
-    # Levels rise along the full sources, so the first open one has the least level of those that are open.
+    # Levels rise along the full sources up to the first open one, and fall behind it: that one's holds for all.
+    s = s.withColumn("level", F.max(F.when(F.col("open"), F.col("level"))).over(all_))
     return s.select("source", "source_size", F.when(F.col("open"), F.least(F.col("most").cast("double"), F.col("weight") * F.col("level"))).otherwise(F.col("most").cast("double")).alias("target"))
 
 
@@ -115,7 +115,7 @@ l AS (SELECT *, 2 * source_size AS most, (1.5 * CAST(sum(source_size) OVER () AS
   / CAST(sum(weight) OVER () - coalesce(sum(weight) OVER w, 0) AS DOUBLE) AS level
   FROM s WINDOW w AS (ORDER BY 2 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 o AS (SELECT *, most / weight > level AS open FROM l),
-g AS (SELECT source, source_size, CASE WHEN open THEN least(CAST(most AS DOUBLE), weight * (SELECT min(level) FROM o WHERE open)) ELSE CAST(most AS DOUBLE) END AS target FROM o),
+g AS (SELECT source, source_size, CASE WHEN open THEN least(CAST(most AS DOUBLE), weight * (SELECT max(level) FROM o WHERE open)) ELSE CAST(most AS DOUBLE) END AS target FROM o),
 f AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS copies,
   coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)

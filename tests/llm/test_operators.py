@@ -230,6 +230,32 @@ def test_mixing(docs, rows):
     assert max(free.values()) == pytest.approx(min(free.values()))
 
 
+def water(sizes, weights, share=1.5, most=2):
+    """Targets by sharing again and again what is over."""
+    target, left, free = dict.fromkeys(sizes, 0.0), share * sum(sizes.values()), set(sizes)
+    while free:
+        level = left / sum(weights[s] for s in free)
+        full = {s for s in free if weights[s] * level >= most * sizes[s]}
+        if not full:
+            return target | {s: weights[s] * level for s in free}
+        for s in full:
+            target[s] = most * sizes[s]
+            left -= target[s]
+        free -= full
+    return target
+
+
+def test_targets(spark):
+    import random
+
+    r = random.Random(8)
+    for n in (1, 2, 7, 40):
+        sizes = {f"s{k:02}": r.choice([0, 1, 10, 500, 10_000, 90_000]) + r.randrange(9) for k in range(n)}
+        weights = {s: [3, 1, 2][k % 3] for k, s in enumerate(sorted(sizes))}
+        got = {x.source: x.target for x in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, size bigint")).collect()}
+        assert got == pytest.approx(water(sizes, weights))
+
+
 def test_mixing_without_words(table):
     got = mixing.allot(table([(1, None, "en", "a"), (2, "", "en", None)])).collect()
     assert [(r.size, r.source_size, r.target, r.taken) for r in got] == [(0, 0, 0.0, 0)] * 2
