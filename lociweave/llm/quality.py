@@ -4,12 +4,18 @@ Native: DataFrame functions only. Each document gets whole numbers (words, symbo
 six ratios in ten-thousandths are sketched per (lang, source) as counts in logarithmic buckets of 1/64
 relative width. Sketches merge by adding counts, so partial sums are formed before the shuffle, a hot source
 costs no more than another, and the sketches of a language or of everything are sums of those of its sources.
-A ratio is out of bounds when it lies more than SPREAD times the distance from the tenth percentile to the
-median, plus a slack, from its group's median. A group of fewer than MIN_GROUP documents that pass the base
-rules takes the bounds of its language, and a language of fewer takes those of all documents.
+
+The upper bound of a ratio is an upper quantile of its group's sketch, plus so many times that quantile's distance from
+the median, plus a slack that only covers rounding (see RULES); lower bounds mirror it. So a source whose clean
+documents are full of symbols or short lines widens its own bounds and nobody else's. The shares differ:
+junk of symbols, echoes or shouting may make up a tenth of a source before it moves the bounds; repeated lines
+and windows are rare in any source, hence the last hundredth. Every group's sketch has its language's
+mixed in with the weight of PRIOR documents, and a language's that of all, so that small groups lean on their
+language by degrees; no size switches anything.
 
 Defined results: null and empty texts have no words and fail; null lang and source are values like any other;
-repeated rows each get a result; other columns play no part in the rules and are kept by ``filter_quality``.
+repeated rows each get a result; other columns, whatever their names, play no part in the rules and are kept by
+``filter_quality``; equal values all lie on one side of a bound; an empty table gives an empty result.
 Equal windows are found by a 64-bit hash within one document.
 """
 
@@ -21,12 +27,15 @@ from pyspark.sql.window import Window
 
 from .common import SPACE, materialize, words
 
-MIN_GROUP = 30
-SPREAD = 4
+#: Documents' worth of the wider sketch that every narrower one has mixed in.
+PRIOR = 10
 BROADCAST_ROWS = 100_000
-#: Ratio -> slack on either side, in ten-thousandths; "low" ratios have a lower bound as well.
-RATIOS = {"r_length": 20000, "r_symbols": 2000, "r_lines": 5000, "r_repeat": 3000, "r_upper": 2500, "r_echo": 2000}
+SALT = 64
+#: Ratio -> upper quantile in permille, times its distance from the median, slack in ten-thousandths.
+RULES = {"r_length": (900, 3, 1000), "r_symbols": (900, 3, 200), "r_lines": (990, 1, 500), "r_repeat": (990, 1, 300), "r_upper": (900, 3, 100), "r_echo": (900, 3, 150)}
+#: Those with a lower bound as well, from the mirrored quantile.
 LOW = {"r_length"}
+RATIOS = list(RULES)
 NUMBERS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_lines", "n_echo"]
 
 
@@ -38,13 +47,14 @@ def _repeated(h: Column, s: Column, window: int) -> Column:
     return F.aggregate(at, init, lambda a, i: F.struct((a["n"] + F.least(F.lit(window), i - a["last"])).cast("long").alias("n"), i.alias("last")), lambda a: a["n"])
 
 
-def measure(docs: DataFrame, window: int = 8) -> DataFrame:
-    """doc_id, lang, source, text_hash and the numbers of every document."""
+def measure(docs: DataFrame, window: int = 8, whole: bool = False) -> DataFrame:
+    """doc_id, lang, source and the numbers of every document; with whole also row, all its columns."""
     text = F.coalesce("text", F.lit(""))
-    d = docs.select("doc_id", "lang", "source", F.xxhash64("text").alias("text_hash"), text.alias("_t"), words(F.col("text"), SPACE).alias("_w"))
+    row = F.struct(*docs.columns) if whole else F.lit(None).cast("struct<x:int>")
+    d = docs.select("doc_id", "lang", "source", row.alias("row"), text.alias("_t"), words(F.col("text"), SPACE).alias("_w"))
     lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     d = d.select(
-        "doc_id", "lang", "source", "text_hash",
+        "doc_id", "lang", "source", "row",
         F.size("_w").cast("long").alias("n_words"),
         F.length(F.regexp_replace("_t", SPACE, "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("_t", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
@@ -55,7 +65,7 @@ def measure(docs: DataFrame, window: int = 8) -> DataFrame:
     )
     d = d.withColumn("_s", F.when(F.size(F.array_distinct("_h")) < F.size("_h"), F.array_sort(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     return d.select(
-        "doc_id", "lang", "source", "text_hash", "n_words", "word_chars", "n_symbols", "n_upper", "n_echo",
+        "doc_id", "lang", "source", "row", "n_words", "word_chars", "n_symbols", "n_upper", "n_echo",
         F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(_repeated(F.col("_h"), F.col("_s"), window), F.lit(0)).cast("long").alias("n_repeat_words"),
@@ -72,69 +82,69 @@ def _ratios(d: DataFrame) -> DataFrame:
     )
 
 
-def _level(level: int, lang: Column, source: Column) -> Column:
-    return F.struct(F.lit(level).alias("level"), lang.alias("lang"), source.alias("source"))
-
-
 def sketches(d: DataFrame) -> DataFrame:
-    """Counts by level (0 group, 1 language, 2 all), lang, source, ratio and bucket; d: with ratios."""
+    """lang, source, ratio, bucket, n: counts of the documents that pass the base rules; d: with ratios."""
     pairs = F.explode(F.array(*[F.struct(F.lit(r).alias("ratio"), F.col(r).alias("v")) for r in RATIOS]))
     v = d.where(~F.col("base_failed")).select("lang", "source", pairs.alias("p")).select("lang", "source", "p.ratio", "p.v")
     bits = F.greatest(F.length(F.bin("v")) - 7, F.lit(0))
     step = F.pow(F.lit(2.0), bits).cast("long")
-    one = v.withColumn("bucket", (F.floor(F.col("v") / step) * step).cast("long")).groupBy("lang", "source", "ratio", "bucket").agg(F.count("*").alias("n"))
-    none = F.lit(None).cast("string")
-    levels = F.explode(F.array(_level(0, F.col("lang"), F.col("source")), _level(1, F.col("lang"), none), _level(2, none, none)))
-    return one.select(levels.alias("k"), "ratio", "bucket", "n").select("k.level", "k.lang", "k.source", "ratio", "bucket", "n").groupBy("level", "lang", "source", "ratio", "bucket").agg(F.sum("n").alias("n"))
+    return v.withColumn("bucket", (F.floor(F.col("v") / step) * step).cast("long")).groupBy("lang", "source", "ratio", "bucket").agg(F.count("*").alias("n"))
+
+
+def _blend(own: DataFrame, prior: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """own with n in thousandths, and PRIOR documents of the prior (which has by as keys) added to every group of keys."""
+    total = prior.groupBy(*by, "ratio").agg(F.sum("n").alias("_all"))
+    match = lambda a, b, cols: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in cols]
+    share = prior.alias("p").join(total.alias("t"), match("p", "t", [*by, "ratio"])).select(*[F.col(f"p.{c}") for c in [*by, "ratio", "bucket"]], F.expr(f"({PRIOR} * 1000 * n) div _all").alias("n"))
+    groups = own.select(*keys, "ratio").distinct()
+    added = groups.alias("g").join(share.alias("s"), match("g", "s", [*by, "ratio"])).select(*[F.col(f"g.{c}") for c in keys], "s.ratio", "s.bucket", "s.n")
+    thousands = own.select(*keys, "ratio", "bucket", (F.col("n") * 1000).alias("n"))
+    return thousands.unionByName(added).groupBy(*keys, "ratio", "bucket").agg(F.sum("n").alias("n"))
+
+
+def blended(sketch: DataFrame) -> DataFrame:
+    """The sketches of all groups with their language's share in them. A sketch has few rows (bounded by the logarithm), however many documents."""
+    every = sketch.groupBy("ratio", "bucket").agg(F.sum("n").alias("n"))
+    language = sketch.groupBy("lang", "ratio", "bucket").agg(F.sum("n").alias("n"))
+    return _blend(sketch, _blend(language, every, ["lang"], []), ["lang", "source"], ["lang"])
 
 
 def bounds(sketch: DataFrame) -> DataFrame:
-    """One row per level, lang and source: size, and lo_/hi_ of each ratio. The buckets of one group are few (bounded by the logarithm)."""
-    w = Window.partitionBy("level", "lang", "source", "ratio")
-    c = sketch.withColumn("upto", F.sum("n").over(w.orderBy("bucket"))).withColumn("total", F.sum("n").over(w))
-    q = c.groupBy("level", "lang", "source", "ratio").agg(
-        F.first("total").alias("total"),
-        F.min(F.when(F.col("upto") * 10 >= F.col("total"), F.col("bucket"))).alias("q10"),
-        F.min(F.when(F.col("upto") * 2 >= F.col("total"), F.col("bucket"))).alias("q50"),
-    )
-    slack = F.create_map(*[F.lit(x) for r in RATIOS.items() for x in r])[F.col("ratio")]
-    q = q.withColumn("reach", SPREAD * (F.col("q50") - F.col("q10")) + slack)
+    """k_lang, k_source, and hi_ and lo_ of each ratio: one row per group; sketch: blended."""
+    group = Window.partitionBy("lang", "source", "ratio")
+    c = sketch.withColumn("upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("total", F.sum("n").over(group))
+    at = lambda permille: F.min(F.when(F.col("upto") * 1000 >= F.col("total") * permille, F.col("bucket")))
+    rule = F.create_map(*[x for r, (q, _, _) in RULES.items() for x in (F.lit(r), F.lit(q))])[F.col("ratio")]
+    q = c.withColumn("_q", rule).groupBy("lang", "source", "ratio").agg(at(F.col("_q")).alias("up"), at(F.lit(500)).alias("mid"), at(1000 - F.col("_q")).alias("down"))
     pick = lambda r, e: F.max(F.when(F.col("ratio") == r, e))
-    return q.groupBy("level", "lang", "source").agg(
-        F.max("total").alias("size"),
-        *[pick(r, F.col("q50") + F.col("reach")).alias(f"hi_{r}") for r in RATIOS],
-        *[pick(r, F.col("q50") - F.col("reach")).alias(f"lo_{r}") for r in LOW],
+    return q.groupBy(F.col("lang").alias("k_lang"), F.col("source").alias("k_source")).agg(
+        *[pick(r, F.col("up") + times * (F.col("up") - F.col("mid")) + slack).alias(f"hi_{r}") for r, (_, times, slack) in RULES.items()],
+        *[pick(r, F.col("down") - RULES[r][1] * (F.col("mid") - F.col("down")) - RULES[r][2]).alias(f"lo_{r}") for r in LOW],
     )
 
 
-def resolve(b: DataFrame) -> DataFrame:
-    """k_lang, k_source, b: the bounds that hold for each group, its own, its language's or those of all."""
-    own = F.struct("size", *[c for c in b.columns if c[:3] in ("hi_", "lo_")])
-    at = lambda level, w: F.max(F.when(F.col("level") == level, own)).over(w)
-    d = b.withColumns({"b0": own, "b1": at(1, Window.partitionBy("lang")), "b2": at(2, Window.partitionBy())}).where("level = 0")
-    enough = lambda k: F.when(F.col(f"b{k}.size") >= MIN_GROUP, F.col(f"b{k}"))
-    return d.select(F.col("lang").alias("k_lang"), F.col("source").alias("k_source"), F.coalesce(enough(0), enough(1), F.col("b2")).alias("b"))
-
-
-def judge(docs: DataFrame, window: int = 8) -> DataFrame:
-    """Numbers, base_failed and kept of every document. The numbers are written once; texts are read once."""
-    d = _ratios(materialize(measure(docs, window)))
-    b = materialize(resolve(bounds(sketches(d))))
-    side = F.broadcast(b) if b.count() <= BROADCAST_ROWS else b
-    # A group without bounds has no document that passes the base rules.
-    d = d.join(side, F.col("lang").eqNullSafe(F.col("k_lang")) & F.col("source").eqNullSafe(F.col("k_source")), "left")
+def judge(docs: DataFrame, window: int = 8, whole: bool = False) -> DataFrame:
+    """doc_id, row (if whole), numbers, base_failed and kept of every document. Numbers are written once, with the rows if they are wanted; texts are neither read twice nor shuffled."""
+    d = _ratios(materialize(measure(docs, window, whole)))
+    b = materialize(bounds(blended(materialize(sketches(d)))))
+    if b.count() <= BROADCAST_ROWS:
+        d = d.join(F.broadcast(b), F.col("lang").eqNullSafe(F.col("k_lang")) & F.col("source").eqNullSafe(F.col("k_source")), "left")
+    else:  # a third of all rows may be of one group: its rows are dealt out among SALT copies of its bounds
+        salted = b.withColumn("k_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        d = d.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALT)).cast("int"))
+        d = d.join(salted, F.col("lang").eqNullSafe(F.col("k_lang")) & F.col("source").eqNullSafe(F.col("k_source")) & (F.col("_salt") == F.col("k_salt")), "left")
     fine = F.lit(True)
     for r in RATIOS:
-        fine = fine & (F.col(r) <= F.col(f"b.hi_{r}"))
+        fine = fine & (F.col(r) <= F.col(f"hi_{r}"))
         if r in LOW:
-            fine = fine & (F.col(r) >= F.col(f"b.lo_{r}"))
-    return d.select("doc_id", "text_hash", *NUMBERS, "base_failed", (~F.col("base_failed") & F.coalesce(fine, F.lit(False))).alias("kept"))
+            fine = fine & (F.col(r) >= F.col(f"lo_{r}"))
+    # A group without bounds has no document that passes the base rules.
+    return d.select("doc_id", *(["row"] if whole else []), *NUMBERS, "base_failed", (~F.col("base_failed") & F.coalesce(fine, F.lit(False))).alias("kept"))
 
 
 def filter_quality(docs: DataFrame) -> DataFrame:
     """docs without those that the rules reject, all columns kept."""
-    good = judge(docs).where("kept").select(F.col("doc_id").alias("__lw_d"), F.col("text_hash").alias("__lw_k")).distinct()
-    return docs.join(good, F.col("doc_id").eqNullSafe(F.col("__lw_d")) & (F.xxhash64("text") == F.col("__lw_k")), "left_semi")
+    return judge(docs, whole=True).where("kept").select("row.*")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -159,15 +169,20 @@ r AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_fail
 v AS (SELECT lang, source, 'r_length' AS ratio, r_length AS v FROM r WHERE NOT base_failed UNION ALL SELECT lang, source, 'r_symbols', r_symbols FROM r WHERE NOT base_failed
   UNION ALL SELECT lang, source, 'r_lines', r_lines FROM r WHERE NOT base_failed UNION ALL SELECT lang, source, 'r_repeat', r_repeat FROM r WHERE NOT base_failed
   UNION ALL SELECT lang, source, 'r_upper', r_upper FROM r WHERE NOT base_failed UNION ALL SELECT lang, source, 'r_echo', r_echo FROM r WHERE NOT base_failed),
-l AS (SELECT 0 AS level, lang, source, ratio, v FROM v UNION ALL SELECT 1, lang, NULL, ratio, v FROM v UNION ALL SELECT 2, NULL, NULL, ratio, v FROM v),
-k AS (SELECT level, lang, source, ratio, v // CAST(pow(2, greatest(length(bin(v)) - 7, 0)) AS BIGINT) * CAST(pow(2, greatest(length(bin(v)) - 7, 0)) AS BIGINT) AS bucket FROM l),
-q AS (SELECT level, lang, source, ratio, count(*) AS total, quantile_disc(bucket, 0.1) AS q10, quantile_disc(bucket, 0.5) AS q50 FROM k GROUP BY ALL),
-f AS (SELECT *, 4 * (q50 - q10) + CASE ratio WHEN 'r_length' THEN 20000 WHEN 'r_symbols' THEN 2000 WHEN 'r_upper' THEN 2500 WHEN 'r_lines' THEN 5000 WHEN 'r_echo' THEN 2000 ELSE 3000 END AS reach FROM q),
-p AS (SELECT r.doc_id, CASE WHEN f0.total >= 30 THEN f0.q50 WHEN f1.total >= 30 THEN f1.q50 ELSE f2.q50 END AS mid, CASE WHEN f0.total >= 30 THEN f0.reach WHEN f1.total >= 30 THEN f1.reach ELSE f2.reach END AS reach,
-  x.ratio, CASE x.ratio WHEN 'r_length' THEN r_length WHEN 'r_symbols' THEN r_symbols WHEN 'r_lines' THEN r_lines WHEN 'r_repeat' THEN r_repeat WHEN 'r_upper' THEN r_upper ELSE r_echo END AS v
+k AS (SELECT lang, source, ratio, v // CAST(pow(2, greatest(length(bin(v)) - 7, 0)) AS BIGINT) * CAST(pow(2, greatest(length(bin(v)) - 7, 0)) AS BIGINT) AS bucket, count(*) AS n FROM v GROUP BY ALL),
+e AS (SELECT ratio, bucket, CAST(10000 * sum(n) AS BIGINT) // CAST(sum(sum(n)) OVER (PARTITION BY ratio) AS BIGINT) AS n FROM k GROUP BY ratio, bucket),
+l AS (SELECT lang, ratio, bucket, CAST(sum(n) AS BIGINT) AS n FROM (SELECT lang, ratio, bucket, 1000 * n AS n FROM k UNION ALL SELECT g.lang, ratio, bucket, n FROM e, (SELECT DISTINCT lang FROM k) g) GROUP BY ALL),
+ls AS (SELECT lang, ratio, bucket, CAST(10000 * n AS BIGINT) // CAST(sum(n) OVER (PARTITION BY lang, ratio) AS BIGINT) AS n FROM l),
+b AS (SELECT lang, source, ratio, bucket, sum(n) AS n FROM (SELECT lang, source, ratio, bucket, 1000 * n AS n FROM k UNION ALL
+  SELECT g.lang, g.source, ratio, bucket, n FROM ls JOIN (SELECT DISTINCT lang, source FROM k) g ON g.lang IS NOT DISTINCT FROM ls.lang) GROUP BY ALL),
+u AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, ratio ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY lang, source, ratio) AS total,
+  CASE WHEN ratio IN ('r_lines', 'r_repeat') THEN 990 ELSE 900 END AS q, CASE WHEN ratio IN ('r_lines', 'r_repeat') THEN 1 ELSE 3 END AS times,
+  CASE ratio WHEN 'r_length' THEN 1000 WHEN 'r_symbols' THEN 200 WHEN 'r_lines' THEN 500 WHEN 'r_repeat' THEN 300 WHEN 'r_upper' THEN 100 ELSE 150 END AS slack FROM b),
+f AS (SELECT lang, source, ratio, times, slack, min(bucket) FILTER (1000 * upto >= q * total) AS up, min(bucket) FILTER (2 * upto >= total) AS mid, min(bucket) FILTER (1000 * upto >= (1000 - q) * total) AS down FROM u GROUP BY ALL),
+p AS (SELECT r.doc_id, x.ratio, up + times * (up - mid) + slack AS hi, down - times * (mid - down) - slack AS lo,
+  CASE x.ratio WHEN 'r_length' THEN r_length WHEN 'r_symbols' THEN r_symbols WHEN 'r_lines' THEN r_lines WHEN 'r_repeat' THEN r_repeat WHEN 'r_upper' THEN r_upper ELSE r_echo END AS v
   FROM r CROSS JOIN (SELECT unnest(['r_length', 'r_symbols', 'r_lines', 'r_repeat', 'r_upper', 'r_echo']) AS ratio) x
-  LEFT JOIN f f0 ON f0.level = 0 AND f0.ratio = x.ratio AND f0.lang IS NOT DISTINCT FROM r.lang AND f0.source IS NOT DISTINCT FROM r.source
-  LEFT JOIN f f1 ON f1.level = 1 AND f1.ratio = x.ratio AND f1.lang IS NOT DISTINCT FROM r.lang LEFT JOIN f f2 ON f2.level = 2 AND f2.ratio = x.ratio),
-ok AS (SELECT doc_id, bool_and(coalesce(v <= mid + reach AND (ratio <> 'r_length' OR v >= mid - reach), false)) AS fine FROM p GROUP BY doc_id)
+  LEFT JOIN f ON f.ratio = x.ratio AND f.lang IS NOT DISTINCT FROM r.lang AND f.source IS NOT DISTINCT FROM r.source),
+ok AS (SELECT doc_id, bool_and(coalesce(v <= hi AND (ratio <> 'r_length' OR v >= lo), false)) AS fine FROM p GROUP BY doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND fine AS kept FROM r JOIN ok USING (doc_id)
 """

@@ -113,10 +113,23 @@ def test_quality_adapts_to_its_group(table):
     assert out.columns == COLUMNS and {x.doc_id for x in out.collect()} == {k for k, v in kept.items() if v}
 
 
+def test_quality_bounds_follow_the_upper_spread(table):
+    """Three of ten clean documents with symbols widen their source's bound; one of forty in another source doesn't. Windows repeated within the base rule's allowance can fail."""
+    clean = lambda k: " ".join(f"word{k}x{i}" for i in range(60))
+    marked = lambda k: " ".join(f"word{k}x{i}{'#' * (i % 3 == 0)}" for i in range(60))
+    twice = lambda k: " ".join([*(f"word{k}x{i}" for i in range(52)), *(f"word{k}x{i}" for i in range(8))])
+    r = [(k, marked(k) if k % 10 < 3 else clean(k), "en", "notes") for k in range(200)]
+    r += [(1000 + k, marked(k) if k == 7 else twice(k) if k == 9 else clean(k), "en", "news") for k in range(400)]
+    kept = {x.doc_id: x for x in quality.report(table(r)).collect()}
+    assert all(kept[k].kept for k in range(200))
+    assert not kept[1007].kept and sum(not x.kept for x in kept.values()) == 2
+    assert not kept[1009].kept and not kept[1009].base_failed and kept[1009].n_repeat_words == 16
+
+
 def test_sketches_merge(table, rows):
     sketch = lambda x: quality.sketches(quality._ratios(common.materialize(quality.measure(table(x)))))
     parts = [sketch(rows[::2]), sketch(rows[1::2])]
-    key = ["level", "lang", "source", "ratio", "bucket"]
+    key = ["lang", "source", "ratio", "bucket"]
     merged = parts[0].unionByName(parts[1]).groupBy(*key).agg(F.sum("n").alias("n"))
     assert copies(merged) == copies(sketch(rows))
 
