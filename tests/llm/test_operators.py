@@ -5,9 +5,12 @@ import collections
 import hashlib
 import itertools
 import re
+import time
 
 import numpy as np
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lociweave.llm import common, decontaminate, exchange, graph, html_text, licenses, lm, mixing, neardup, packing, quality, repeats, surrogates
@@ -385,6 +388,50 @@ def test_main_text(page, want):
     assert html_text.main_text(page) == want
 
 
+PARA = f"<p>{LONG * 2}</p>"
+AD = "<div class=ad><p>buy</p></div>"
+
+
+@pytest.mark.parametrize(("page", "has", "lacks"), [
+    (f"<article><div class='elementor-widget-container'>{PARA}</div></article>", [LONG.strip()], []),
+    (f"<div class='elementor-widget-container'>{PARA}{PARA}</div>", [LONG.strip()], []),
+    (f"<div class='layout with-sidebar'><div>{PARA}</div><div class=sidebar><p>Aside</p></div></div>", [LONG.strip()], ["Aside"]),
+    (f"<div class='content no-sidebar'>{PARA}</div><div class='site-footer'>All the rest</div>", [LONG.strip()], ["rest"]),
+    (f"<article>{PARA}<section id='related-work'><p>Earlier work.</p></section><div class='search-methods'><p>How.</p></div><div class='related-posts'><p>More</p></div></article>", ["Earlier work.", "How."], ["More"]),
+    (f"<div class=post><h1>Title</h1><div class=lead>{'lead ' * 40}</div><div class=entry>{PARA * 20}</div></div>", ["Title", "lead lead"], []),
+    (f"<body><div class=top>My Site</div><div id=c><section>{PARA * 3}</section>{AD * 4}<section>{PARA}<p>The end.</p></section></div>{AD * 4}<div>Imprint</div></body>", ["The end."], ["My Site", "buy", "Imprint"]),
+    (f"<body><section>{PARA * 3}</section>{AD * 4}<section>{PARA}<p>The end.</p></section></body>", ["The end."], ["buy"]),
+    (f"<article>{PARA}<script>let leak = 1; <p>{LONG}</p>", [LONG.strip()], ["leak"]),
+    (f"<article>{PARA}<select><option>leak<p>{LONG}</p></article>", [LONG.strip()], ["leak"]),
+    (f"<div class=comments><p>{LONG}</p></div>", [LONG.strip()], []),
+])
+def test_layouts(page, has, lacks):
+    text = html_text.main_text(page)
+    assert all(x in text for x in has) and not any(x in text for x in lacks)
+
+
+def test_depth_and_strays_are_linear():
+    for page in ("<div>" * 40_000 + PARA, "<div class='a b'>" * 40_000 + PARA, "<div>" * 40_000 + "</section>" * 40_000 + PARA, "<button>" * 40_000 + PARA):
+        began = time.perf_counter()
+        assert html_text.main_text(page) == (LONG * 2).strip()
+        assert time.perf_counter() - began < 3
+
+
+@given(st.lists(st.one_of(st.just(0), st.integers(0, 60), st.integers(0, 400)), max_size=60))
+def test_stretches(weights):
+    """Against the definition: blocks of text belong together unless WINDOW blocks without any lie between; a window must surge."""
+    w, n = html_text.WINDOW, len(weights)
+    sums = [sum(weights[i : i + w]) for i in range(n)]
+    groups = []
+    for i in (i for i in range(n) if weights[i]):
+        if groups and i - groups[-1][-1] <= w:
+            groups[-1].append(i)
+        else:
+            groups.append([i])
+    limit = min(html_text.SURGE, max(sums, default=0))
+    assert html_text.stretches(weights) == [(g[0], g[-1] + 1) for g in groups if any(sums[i] >= limit for i in g)]
+
+
 def test_pages_of_any_kind(spark):
     pages = spark.createDataFrame([(1, "u", None, 9), (1, "u", None, 9), (2, None, "<p>" + "<b>x " * 200_000, 9), (None, "v", "<<p a='>" + "<div>" * 5000 + LONG, 9)], "page_id bigint, url string, html string, n_chars int")
     got = html_text.extract(pages).collect()
