@@ -4,10 +4,12 @@ import base64
 import collections
 import hashlib
 import itertools
+import random
 import re
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -140,6 +142,55 @@ def test_sketches_merge(table, rows):
 # ---- 5 -----------------------------------------------------------------------------------------------
 
 
+def _boilerplate(m, share=0.7, n=200, seed=5):
+    """Texts that share so much of their words, and no more."""
+    r = random.Random(seed)
+    common = [f"b{i}" for i in range(int(n * share))]
+    return [(k, " ".join(common + [f"u{k}x{i}" for i in range(n - len(common))] if r.random() < 0.5 else [f"u{k}x{i}" for i in range(n - len(common))] + common), "en", "a") for k in range(m)]
+
+
+@pytest.mark.parametrize("share", [0.7, 0.9])
+def test_boilerplate_makes_no_pairs(spark, table, share, monkeypatch):
+    """Pairs to confirm grow with the texts, not with their square, and nothing is linked."""
+    pairs, confirm = [], neardup._confirm
+    monkeypatch.setattr(neardup, "_confirm", lambda p, *a: pairs.append(p.count()) or confirm(p, *a))
+    for m in (100, 400):
+        got = neardup.near_duplicates(table(_boilerplate(m, share)), 3, 85).collect()
+        assert all(x.kept for x in got)
+    assert sum(pairs[2:]) <= 4 * sum(pairs[:2]) + 400
+    print(pairs)
+
+
+def test_whole_lists_lose_no_pair(spark, table):
+    """All pairs of similar sets meet in a list of rare shingles, whatever their sizes."""
+    r = random.Random(11)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for k in range(160):
+        w = base[: r.randint(60, 120)]
+        for _ in range(r.randint(0, 6)):
+            w[r.randrange(len(w))] = f"x{k}y{r.randrange(50)}"
+        texts.append((k, " ".join(w)))
+    sets = {k: set(neardup.shingle_sets(pa.array([t]), 3)[0].tolist()) for k, t in texts}
+    rows = spark.createDataFrame([(k, v) for k, s in sets.items() for v in s], "sid long, v long")
+    nodes = spark.createDataFrame([(k, len(s)) for k, s in sets.items()], "sid long, n long")
+    lists = collections.defaultdict(set)
+    for x in neardup._whole_entries(nodes, rows, 85).collect():
+        lists[x.key].add((x.sid, x.side))
+    met = {(a, b) for m in lists.values() for a, p in m for b, q in m if a < b and (p != q or p == 2)}
+    similar = {(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    assert similar and similar <= met and len(met) < len(sets) ** 2 / 3
+
+
+def test_sets_with_one_hash(spark, table, monkeypatch):
+    """Different sets whose 64-bit hashes are equal stay apart."""
+    real = neardup.signatures
+    monkeypatch.setattr(neardup, "signatures", lambda *a: real(*a).withColumn("sid", F.when(F.col("doc_id") < 4, F.lit(7)).otherwise(F.col("sid"))))
+    r = [(k, f"text number {k} " + " ".join(f"{'p' if k % 2 else 'q'}{i}" for i in range(60)), "en", "a") for k in range(8)]
+    got = {x.doc_id: x.component_id for x in neardup.near_duplicates(table(r), 3, 85).collect()}
+    assert got == {k: k % 2 for k in range(8)}
+
+
 @pytest.mark.parametrize(("width", "percent"), [(3, 85), (5, 80)])
 def test_near_duplicates(table, width, percent):
     r = [x for x in corpus(3, 80) if x[0] is not None]
