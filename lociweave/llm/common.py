@@ -26,6 +26,9 @@ ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Keys of rows (some 100 bytes each in a hash table) that are sent to all tasks; more are joined by a shuffle.
+BROADCAST_KEYS = 500_000
+
 _tables: list[str] = []
 
 
@@ -40,9 +43,12 @@ def words(text: Column, gap: str) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder in the shared folder that the cluster names; a local one only where it names none."""
+    """A new folder in the shared folder that the cluster names; a local one only on a single machine that names none."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         base = "file://" + tempfile.mkdtemp(prefix="lociweave-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/tables/{uuid.uuid4().hex}"
@@ -61,7 +67,6 @@ def drop_tables(spark: SparkSession) -> None:
 def materialize(df: DataFrame) -> DataFrame:
     """Writes to the shared folder and reads again: cuts the lineage so that any executor may be lost."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    release(spark)
     df.write.option("compression", "zstd").parquet(path)
     schema = df.schema
     del df
@@ -69,9 +74,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def rows_by_key(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """docs with ("left_semi") or without ("left_anti") the rows of these keys; keys: doc_id and text_hash, written. Few keys are sent to the texts, so that these need no shuffle."""
+    k = keys.select(F.col("doc_id").alias("__lw_d"), F.col("text_hash").alias("__lw_k"))
+    on = F.col("doc_id").eqNullSafe(F.col("__lw_d")) & (F.xxhash64("text") == F.col("__lw_k"))
+    return docs.join(F.broadcast(k) if keys.count() <= BROADCAST_KEYS else k, on, how)
+
+
 def release(spark: SparkSession) -> None:
     """Lets go of the shuffle files of jobs that are done: Spark deletes them once the driver has collected what refers to them, which it would otherwise do only when its heap is full."""
-    spark.range(1).collect()  # what ran last is still referred to
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

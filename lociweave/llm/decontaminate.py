@@ -15,10 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, ALNUM_GAP, ascii_lower, words
+from .common import ALNUM, ALNUM_GAP, ascii_lower, materialize, rows_by_key, words
 
 #: A broadcast beyond this many bytes of window text gives way to a shuffled join.
 BROADCAST_BYTES = 64 << 20
+SALT = 16
 
 
 def _window_hash(ws: Column, length: Column) -> Column:
@@ -60,7 +61,10 @@ def scan(docs: DataFrame, items: DataFrame, n: int = 10, broadcast_bytes: int =
         probe = ws.withColumn("_len", F.explode(F.array(*map(F.lit, lens))))
         probe = probe.select("doc_id", "_key", "_ws", "_len", F.posexplode(_window_hash(F.col("_ws"), F.col("_len"))).alias("_at", "_h"))
         probe = probe.select("doc_id", "_key", F.size("_ws").cast("long").alias("_n"), "_at", "_len", "_h", F.slice("_ws", F.col("_at") + 1, F.col("_len")).alias("_w"))
-        hits = probe.join(known, ["_h", "_len", "_w"]).select("doc_id", "_key", "_n", "_at", "_len", "_items").unionByName(counts)
+        # A window may be in a third of all texts: its rows are dealt out among copies of the known one.
+        probe = probe.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "_key", "_at"), F.lit(SALT)).cast("int"))
+        known = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        hits = probe.join(known, ["_h", "_len", "_w", "_salt"]).select("doc_id", "_key", "_n", "_at", "_len", "_items").unionByName(counts)
     got = hits.groupBy("doc_id", "_key").agg(
         F.first("_n").alias("n_words"),
         F.count(F.when(F.col("_at") < 0, 1)).alias("_rows"),
@@ -79,13 +83,13 @@ def scan(docs: DataFrame, items: DataFrame, n: int = 10, broadcast_bytes: int =
 
 def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, mode: str = "document") -> DataFrame:
     """docs without hit documents (mode "document"), or with the hit words and the gaps after them cut from the texts ("span")."""
-    found = scan(docs, items, n).where("n_hit > 0").select(F.col("doc_id").alias("__lw_d"), F.col("text_hash").alias("__lw_k"), F.col("spans").alias("__lw_spans"))
-    on = F.col("doc_id").eqNullSafe(F.col("__lw_d")) & (F.xxhash64("text") == F.col("__lw_k"))
-    if mode == "document":
-        return docs.join(found, on, "left_anti")
-    if mode != "span":
+    if mode not in ("document", "span"):
         raise ValueError(mode)
-    found = found.dropDuplicates(["__lw_d", "__lw_k"])
+    hit = scan(docs, items, n).where("n_hit > 0")
+    if mode == "document":
+        return rows_by_key(docs, materialize(hit.select("doc_id", "text_hash").distinct()), "left_anti")
+    found = hit.select(F.col("doc_id").alias("__lw_d"), F.col("text_hash").alias("__lw_k"), F.col("spans").alias("__lw_spans")).dropDuplicates(["__lw_d", "__lw_k"])
+    on = F.col("doc_id").eqNullSafe(F.col("__lw_d")) & (F.xxhash64("text") == F.col("__lw_k"))
     # Flags per word by one pass over the sorted spans would need state; a merged list of positions is as good.
     hit = F.array_distinct(F.flatten(F.transform("__lw_spans", lambda s: F.sequence(s["at"], s["at"] + s["len"] - 1))))
     parts, gaps = F.regexp_extract_all("text", F.lit(f"({ALNUM_ANY})"), 1), F.split("text", ALNUM_ANY)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffer_of, map_arrow, materialize, mix, slices, word_hashes
+from .common import buffer_of, map_arrow, materialize, mix, rows_by_key, slices, word_hashes
 from .graph import components
 
 K = 64
@@ -239,9 +239,13 @@ def _rest(nodes: DataFrame, sets: DataFrame, seen: DataFrame, percent: int) -> D
 
 def dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group, all columns kept. Of repeated rows one stays."""
-    good = near_duplicates(docs, width, percent).where("kept").select(F.col("doc_id").alias("__lw_d"), F.col("text_hash").alias("__lw_k")).distinct()
-    keyed = docs.withColumn("__lw_x", F.xxhash64("text"))
-    return keyed.join(good, F.col("doc_id").eqNullSafe(F.col("__lw_d")) & (F.col("__lw_x") == F.col("__lw_k")), "left_semi").dropDuplicates(["doc_id", "__lw_x"]).drop("__lw_x")
+    found = materialize(near_duplicates(docs, width, percent).select("doc_id", "text_hash", "kept"))
+    out = rows_by_key(docs, materialize(found.where(~F.col("kept")).select("doc_id", "text_hash").distinct()), "left_anti")
+    twice = materialize(found.where("kept").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1"))
+    if not twice.limit(1).count():
+        return out
+    again = rows_by_key(out, twice, "left_semi").withColumn("__lw_x", F.xxhash64("text")).dropDuplicates(["doc_id", "__lw_x"]).drop("__lw_x")
+    return rows_by_key(out, twice, "left_anti").unionByName(again)
 
 
 def report(docs: DataFrame) -> DataFrame:
