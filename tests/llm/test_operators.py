@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import ipaddress
 import itertools
 import random
 import re
@@ -36,7 +37,7 @@ def items(spark, rows):
 
 def test_empty_tables(empty, spark, items):
     pages = spark.createDataFrame([], "page_id bigint, url string, html string, text string")
-    for df in (decontaminate.report(empty, items), quality.report(empty), mixing.allot(empty), licenses.scan(empty), neardup.report(empty), repeats.report(empty), lm.report(empty), packing.pack(empty), html_text.extract(pages), surrogates.report(empty)):
+    for df in (decontaminate.report(empty, items), quality.report(empty), mixing.allot(empty), licenses.scan(empty), neardup.report(empty), repeats.report(empty), lm.report(empty), packing.pack(empty), html_text.extract(pages), surrogates.report(empty, KEY)):
         assert df.count() == 0 and df.columns
     for df in (decontaminate.decontaminate(empty, items), decontaminate.decontaminate(empty, items, mode="span"), quality.filter_quality(empty), mixing.mix(empty), neardup.dedup(empty), repeats.remove_repeats(empty)):
         assert df.count() == 0 and df.columns == COLUMNS
@@ -492,12 +493,13 @@ def test_pages_of_any_kind(spark):
 
 # ---- 1 -----------------------------------------------------------------------------------------------
 
+KEY = b"of the tests"
 PRIVATE = 'Mr. Smith (john.smith@mail.example.com, +1 (017) 555-7713 or 017-555-7713) paid with 4111 1111 1111 1111 from 10.0.0.9 and 8.8.4.4; token = "04dbebab91ab85687d33eeaaf9ac699e1188f962". Frau Anna Weber, DE89 3704 0044 0532 0130 00, 123-45-6789. JOHN.SMITH@MAIL.EXAMPLE.COM Иван Петров. Mr Smith again.'
 
 
 def test_surrogates(table):
     r = [(1, PRIVATE, "en", "a"), (2, PRIVATE, "en", "a"), (3, "Nothing here, 12 apples in 2024, version 1.2.3.", "en", "a"), (4, None, "en", "a"), (5, "", "en", "a"), (1, PRIVATE, "en", "a")]
-    got = {x.doc_id: x for x in surrogates.report(table(r)).collect()}
+    got = {x.doc_id: x for x in surrogates.report(table(r), KEY).collect()}
     assert (got[3].text, got[3].n_entities, got[4].text, got[5].text) == (r[2][1], 0, None, "")
     new = got[1].text
     assert new == got[2].text
@@ -516,7 +518,8 @@ def test_surrogates(table):
     for (_, _, k, n), (_, _, _, m) in zip(before, after):
         kinds[k, n].add(m)
     assert all(len(v) == 1 for v in kinds.values()) and len({(k[0], *v) for k, v in kinds.items()}) == len(kinds)
-    assert next(x[2] for x in after if x[2].startswith("person:f")) == "person:f:latin" and any(x[2] == "person:m:cyrillic" for x in after)
+    assert surrogates._GENDER[next(x[3] for x in after if x[3].endswith(fresh[[k for k, x in enumerate(before) if x[3] == "anna weber"][0]].lower())).split()[0].split("-")[0]] == "f"
+    assert any(surrogates._script(x[3]) == "cyrillic" and surrogates._GENDER[x[3].split()[0].split("-")[0]] == "m" for x in after)
     assert new.count(new[after[0][0] : after[0][1]]) >= 2 and fresh[-3 if len(fresh) > 3 else 0]
 
 
@@ -524,11 +527,11 @@ def test_surrogates(table):
 def test_surrogates_stay_distinct(table, limit):
     """More family names than the list has, and addresses with few letters: collisions must be found and resolved."""
     r = [(k, f"Mr {chr(65 + k % 26)}{'abcdefghij'[k // 26]}son wrote to {'abcdefghijklmnopqrstuvwxyz'[k % 26]}@{'abcdefghij'[k // 26]}.com", "en", "a") for k in range(200)]
-    out = {x.doc_id: x.text for x in surrogates.pseudonymize(table(r), broadcast_rows=limit).collect()}
+    out = {x.doc_id: x.text for x in surrogates.pseudonymize(table(r), KEY, broadcast_rows=limit).collect()}
     assert len(set(re.search(r"Mr (\S+)", t)[1] for t in out.values())) == len(set(re.search(r"Mr (\S+)", x[1])[1] for x in r))
     assert len(set(re.search(r"\S+@\S+", t)[0] for t in out.values())) == len(set(re.search(r"\S+@\S+", x[1])[0] for x in r))
-    d, late = surrogates.dictionary(table(r))
-    assert late > 0 and d.count() == d.select(F.split("kind", ":")[0], "new").distinct().count()
+    d = surrogates.dictionary(table(r), KEY)
+    assert d.where("attempt > 0").count() and d.count() == d.select("kind", "new").distinct().count()
 
 
 def test_keys_matter(table):
@@ -537,7 +540,88 @@ def test_keys_matter(table):
     assert a != b
 
 
+@pytest.mark.parametrize("limit", [surrogates.BROADCAST_ROWS, 0])
+def test_mentions_by_brute_force(table, limit):
+    """Every planted mention goes, the text around it stays, one entity has one surrogate in every format, different ones have different ones, and the number of entities makes no difference."""
+    r = random.Random(3)
+    given, family = ["John", "Maria", "Quillon", "Xanthe", "Juan"], ["Smith", "Garcia", "Fitzgerald", "Brown", "Okonkwo", "Weber"]
+    titles = {"John": "Mr", "Maria": "Ms", "Quillon": "Mr", "Xanthe": "Mrs", "Juan": "Mr"}
+
+    def mention(k):
+        """(entity, parts as they stand) with ways of writing it."""
+        kind = k % 6
+        g, f = r.choice(given), r.choice(family)
+        n = r.randrange(30)
+        if kind == 0:
+            return r.choice([(("p", g, f), f"{titles[g]} {g} {f}"), (("p", g, f), f"{titles[g].upper()}. {g.upper()} {f.upper()}"), (("f", f), f"{titles[g]} {f}")])
+        if kind == 1:
+            return ("phone", n), r.choice(["+1 (826) 555-40{:02d}", "(826) 555-40{:02d}", "826.555.40{:02d}"]).format(n)
+        if kind == 2:
+            return ("mail", n), r.choice(["a{}@b.org", "A{}@B.ORG"]).format(n)
+        if kind == 3:
+            return ("ip6", n), r.choice(["2001:db8::{:x}", "2001:0db8:0:0:0:0:0:{:x}"]).format(n + 16)
+        if kind == 4:
+            return ("birth", n), r.choice(["born 1980-04-{:02d}", "DOB: {:02d}.04.1980"]).format(n % 28 + 1)
+        return ("card", n), r.choice(["3782 822463 10{:03d}", "3782-822463-10{:03d}"]).format(n)
+
+    rows, planted = [], []
+    for k in range(240):
+        ms = [mention(r.randrange(6)) for _ in range(4)]
+        rows.append((k, "; ".join(f"<{i}> {m}" for i, (_, m) in enumerate(ms)) + "; end", "en", "a"))
+        planted.append(ms)
+    maps = collections.defaultdict(set)
+    for x in surrogates.report(table(rows), KEY, limit).collect():
+        ms, parts = planted[x.doc_id], x.text.split("; ")
+        assert x.n_entities == len(ms) and parts[-1] == "end"
+        for i, ((entity, old), new) in enumerate(zip(ms, parts)):
+            assert new.startswith(f"<{i}> ")
+            new = new[4:]
+            assert old not in new and ("@" in old or re.sub(r"[A-Za-z-]+|\d+|::?", "", old) == re.sub(r"[A-Za-z-]+|\d+|::?", "", new))
+            if entity[0] in "pf":
+                title, *names = new.split(" ")
+                assert title == old.split(" ")[0] and (new == new.upper()) == (old == old.upper())
+                maps["family", entity[-1]].add(names[-1].lower())
+                if entity[0] == "p":
+                    maps["given", entity[1]].add(names[0].lower())
+                    assert surrogates._GENDER[names[0].lower().split("-")[0]] == ("m" if titles[entity[1]] == "Mr" else "f")
+            elif entity[0] == "ip6":
+                maps[entity].add(ipaddress.ip_address(new))
+            elif entity[0] == "birth":
+                maps["birth", entity[1] % 28].add(surrogates._date(re.search(r"[\d.-]+", new)[0]))
+            else:
+                maps[entity].add(re.sub(r"[^a-z0-9@]", "", new.lower())[-10:] if entity[0] == "phone" else re.sub(r"[^a-z0-9@]", "", new.lower()))
+    assert all(len(v) == 1 for v in maps.values())
+    assert len({(k[0], *v) for k, v in maps.items()}) == len(maps)
+
+
+def test_a_format_that_is_used_up(table):
+    """All one-letter addresses and more than half of a private network: every surrogate differs, and it ends."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    r = [(k, " ".join(f"{letters[k]}@{x}.com" for x in letters), "en", "a") for k in range(26)]
+    r += [(100 + k, " ".join(f"192.168.{k}.{i}" for i in range(256)), "en", "a") for k in range(160)]
+    out = [w for x in surrogates.pseudonymize(table(r), KEY).collect() for w in x.text.split(" ")]
+    assert len(set(out)) == len(out) == 26 * 26 + 160 * 256
+    assert all(w.startswith("192.168.") or re.fullmatch("[a-z]@[a-z][.]com", w) for w in out)
+
+
+def test_other_columns_stay(table, docs):
+    out = surrogates.pseudonymize(docs, KEY)
+    assert out.schema == docs.schema and copies(out.drop("text")) == copies(docs.drop("text"))
+
+
+@pytest.mark.parametrize("text", [
+    "Juan Carlos Garcia came", "Mr John Fitzgerald Kennedy came", "John Q. Smith came", "JOHN SMITH came", "Priya Sharma came", "card 3782 822463 10005 now", "host 2001:db8::ff00:42:8329 now", "tel: 8265554081 now", "passport no. X1234567 now", "Maria de la Cruz came",
+])
+def test_nothing_is_left_of_an_entity(text):
+    (a, b, _, _), = surrogates.find(text)
+    new, _ = surrogates.replace(text, KEY, {})
+    words = re.findall(r"[A-Za-z0-9]+", text[a:b])
+    assert not {w.lower() for w in words if w not in ("de", "la") and len(w) > 3} & {w.lower() for w in re.findall(r"[A-Za-z0-9]+", new)} - {"2001"}
+    assert text[:a] == new[:a] and text[b:] == new[len(new) - len(text[b:]) :]
+
+
 @pytest.mark.parametrize(("text", "found"), [
+    ("John Smith The end", "John Smith"), ("Mark the date", None), ("MARK Smith", None), ("at 12:30:45 sharp", None), ("Mr Smith. Then", "Smith"), ("Mrs The", None),
     ("x password=e3b3ed3cc8548923d6 y", "e3b3ed3cc8548923d6"), ("PASSWORD=45BB0D53635BF1B89D!!", "45BB0D53635BF1B89D"), ("password: required here", None), ("pwd = abc12345. End", "abc12345"),
     ("+1 (826) 555-4081 190.137.223.204 du", "+1 (826) 555-4081"), ("version 4.0 of 2.0 and 3", None), ("call 999 or 12.5 % of 1000", None), ("9233A8ECF7C5B09FE5949719B6B82BC439E9329B!!", "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"),
 ])
