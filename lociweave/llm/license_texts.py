@@ -29,6 +29,50 @@ Altered source versions must be plainly marked as such, and must not be misrepre
 
 This notice may not be removed or altered from any source distribution."""
 
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <http://unlicense.org/>"""
+_BOOST = """Boost Software License - Version 1.0 - August 17th, 2003
+
+Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
+_CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+_GNU = {"GPL": ("General Public License", ("2.0", "3.0")), "LGPL": ("Lesser General Public License", ("2.1", "3.0")), "AGPL": ("Affero General Public License", ("3.0",)), "FDL": ("Free Documentation License", ("1.2", "1.3"))}
+
+
+def _names() -> dict[str, list[str]]:
+    """Names by which lines call a licence."""
+    out = {
+        "MIT": ["MIT", "MIT License", "Expat License"], "ISC": ["ISC", "ISC License"], "Unlicense": ["Unlicense"], "Zlib": ["zlib", "zlib License"], "0BSD": ["0BSD", "Zero-Clause BSD License"],
+        "Apache-2.0": ["Apache-2.0", "Apache 2.0 License", "Apache License 2.0", "Apache License, Version 2.0", "Apache Software License, Version 2.0", "Apache License v2.0"],
+        "BSD-2-Clause": ["BSD-2-Clause", "BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License"], "BSD-3-Clause": ["BSD-3-Clause", "BSD 3-Clause License", "3-Clause BSD License", "New BSD License", "Modified BSD License"],
+        "MPL-2.0": ["MPL-2.0", "MPL 2.0", "Mozilla Public License 2.0", "Mozilla Public License, Version 2.0", "Mozilla Public License, v. 2.0"], "EPL-2.0": ["EPL-2.0", "Eclipse Public License 2.0", "Eclipse Public License, Version 2.0", "Eclipse Public License - v 2.0"],
+        "BSL-1.0": ["BSL-1.0", "Boost Software License 1.0", "Boost Software License, Version 1.0"], "Artistic-2.0": ["Artistic-2.0", "Artistic License 2.0"],
+        "CC0-1.0": ["CC0", "CC0 1.0", "CC0 1.0 Universal", "Creative Commons CC0 1.0 Universal", "Creative Commons Zero v1.0 Universal"],
+    }
+    for short, (name, versions) in _GNU.items():
+        for v in versions:
+            n = v.removesuffix(".0")
+            both = dict.fromkeys(x for w in dict.fromkeys((v, n)) for x in (f"GNU {name}, version {w}", f"GNU {name} v{w}", f"GNU {name} {w}", f"GNU {short} v{w}", f"GNU {short} {w}", f"GNU {short}v{w}", f"{short}v{w}", f"{short} v{w}", f"{short}-{w}", f"GNU {short} version {w}"))
+            out[f"{'G' * (short == 'FDL')}{short}-{v}"] = list(both)
+            for suffix in ("only", "or-later"):
+                out[f"{'G' * (short == 'FDL')}{short}-{v}-{suffix}"] = [f"{short}-{v}-{suffix}"] + [f"{x} or later" for x in both if suffix == "or-later"] + [f"{x} or any later version" for x in both if suffix == "or-later"]
+    for short, name in _CC.items():
+        for v in ("3.0", "4.0"):
+            out[f"CC-{short}-{v}"] = [f"CC {short} {v}", f"Creative Commons {short} {v}", *(f"Creative Commons {name} {v}{x}" for x in ("", " License", " International", " International License", " Unported License")), f"CC {short} {v} License"]
+    return out
+
+
 KNOWN = [
     ("MIT", "text", _MIT),
     ("MIT", "text", "MIT License\n\n" + _MIT),
@@ -40,19 +84,13 @@ KNOWN = [
     ("ISC", "text", "ISC License\n\n" + _ISC),
     ("0BSD", "text", _0BSD),
     ("Zlib", "text", _ZLIB),
+    ("Unlicense", "text", _UNLICENSE),
+    ("BSL-1.0", "text", _BOOST),
+    ("BSL-1.0", "text", _BOOST.split("\n\n", 1)[1]),
     ("Apache-2.0", "text", _APACHE_NOTICE),
-    ("Apache-2.0", "notice", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "notice", "SPDX-License-Identifier: Apache-2.0"),
-    ("MIT", "notice", "Released under the MIT License."),
-    ("MIT", "notice", "Licensed under the MIT License."),
-    ("MIT", "notice", "SPDX-License-Identifier: MIT"),
-    ("GPL-3.0", "notice", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0-only", "notice", "SPDX-License-Identifier: GPL-3.0-only"),
-    ("GPL-3.0-or-later", "notice", "SPDX-License-Identifier: GPL-3.0-or-later"),
-    ("BSD-3-Clause", "notice", "SPDX-License-Identifier: BSD-3-Clause"),
-    ("CC-BY-NC-4.0", "notice", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-4.0", "notice", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "notice", "Licensed under CC BY-SA 4.0."),
     ("CC0-1.0", "notice", "This work is dedicated to the public domain."),
+    ("Unlicense", "notice", "This is free and unencumbered software released into the public domain."),
     ("all-rights-reserved", "notice", "All rights reserved."),
+    *((i, "name", n) for i, ns in _names().items() for n in ns),
+    *((i, "notice", n) for i, ns in _names().items() for n in ns if n.endswith("License")),
 ]

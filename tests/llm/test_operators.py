@@ -5,6 +5,7 @@ import collections
 import hashlib
 import ipaddress
 import itertools
+import os
 import random
 import re
 import time
@@ -630,6 +631,45 @@ def test_finding_entities(text, found):
     assert (text[got[0][0] : got[0][1]] if got else None) == found
 
 
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="no licence texts here")
+def test_whole_licences(table):
+    """Real texts in other case, other lines and with another holder."""
+    folder = "/usr/share/common-licenses"
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "BSD": "BSD-3-Clause", "Artistic": "Artistic-1.0-Perl"}
+    r = []
+    for f in names:
+        text = open(f"{folder}/{f}").read()
+        rewrap = "\n".join(x if "opyright" in x or "reserved" in x else re.sub(r"(?<=[a-z,]) +(?=[a-z])", "\n   ", x) for x in text.split("\n"))
+        r += [(len(r), text, "en", "a"), (len(r) + 1, "Copyright (c) 2031 Somebody\n" + text.upper(), "en", "a"), (len(r) + 2, re.sub(r"\blicense\b", "licence", rewrap), "en", "a"), (len(r) + 3, text.replace(" provided ", " offered "), "en", "a")]
+    got = {x.doc_id: x.license for x in licenses.scan(table(r)).collect()}
+    assert got == {4 * k + j: i if j < 3 else None for k, i in enumerate(names.values()) for j in range(4)}
+
+
+@pytest.mark.parametrize(("line", "notices"), [
+    ("This project is licensed under the MIT License", "MIT"), ("Distributed under the terms of the GNU General Public License v3.0 or later.", "GPL-3.0-or-later"), ("SPDX-License-Identifier: AGPL-3.0-only", "AGPL-3.0-only"),
+    ("# Released under a Creative Commons Attribution-NonCommercial 4.0 International Licence", "CC-BY-NC-4.0"), ("License: BSD 3-Clause", "BSD-3-Clause"), ("License: BSD", ""), ("Licence: BSD-3-Clause", "BSD-3-Clause"), ("Apache License, Version 2.0", "Apache-2.0"), ("Licensed under no conditions", ""), ("mit", ""),
+])
+def test_lines_that_name_a_licence(table, line, notices):
+    got = licenses.scan(table([(1, f"Some text.\n{line}\nMore text.", "en", "a")])).first()
+    assert (got.notices, got.n_notices, got.license) == (notices, int(bool(notices)), None)
+
+
+def test_spellings_in_a_row(spark):
+    row = spark.range(1).select(licenses.flatten(F.lit("licence licence, noncommercial noncommercial centre")).alias("x")).first()
+    assert row.x == "license license non commercial non commercial center"
+
+
+@pytest.mark.parametrize("limit", [licenses.BROADCAST_ROWS, 0])
+def test_known_texts_of_the_user(spark, table, monkeypatch, limit):
+    monkeypatch.setattr(licenses, "BROADCAST_ROWS", limit)
+    known = spark.createDataFrame([("House-1", "text", "Do as you like."), ("House-2", "name", "House Rules")], "license_id string, kind string, text string")
+    r = [(1, "do AS you like!", "en", "a"), (2, "x\nLicensed under the house rules.\ny", "en", "a"), (3, "x", "en", "a"), (1, "do AS you like!", "en", "a")]
+    got = sorted((x.doc_id, x.license, x.notices) for x in licenses.scan(table(r), known).collect())
+    assert got == [(1, "House-1", ""), (1, "House-1", ""), (2, None, "House-2"), (3, None, "")]
+    assert [x.doc_id for x in licenses.filter_licenses(table(r), ["House-1"], known).orderBy("doc_id").collect()] == [2, 3]
+    assert {(x.doc_id, *x.ids) for x in licenses.scan_keys(table(r), known).collect()} == {(1, "House-1", ""), (2, "House-2"), (3, "")}
+
+
 # ---- Common ------------------------------------------------------------------------------------------
 
 
