@@ -92,5 +92,5 @@ KNOWN = [
     ("Unlicense", "notice", "This is free and unencumbered software released into the public domain."),
     ("all-rights-reserved", "notice", "All rights reserved."),
     *((i, "name", n) for i, ns in _names().items() for n in ns),
-    *((i, "notice", n) for i, ns in _names().items() for n in ns if n.endswith("License")),
+    *((i, "notice", n) for i, ns in _names().items() for n in ns if "License" in n),
 ]
