@@ -63,8 +63,9 @@ def _digests(raw: DataFrame) -> DataFrame:
 
 def known_digests(spark, known: DataFrame | None = None) -> DataFrame:
     """kind, digest, license_id, each digest once; known: further license_id, kind ("text", "notice", "name"), text."""
-    rows = lambda x, names: spark.range(1).select(F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r)]) for r in x])).alias("x")).select("x.*")
-    d = _digests(rows(KNOWN, ("license_id", "kind", "text"))).unionByName(rows(DIGESTS, ("license_id", "kind", "digest")))
+    quote = lambda v: "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    rows = lambda x, names: spark.sql(f"SELECT * FROM VALUES {', '.join('(' + ', '.join(map(quote, r)) + ')' for r in x)} AS t({names})")
+    d = _digests(rows(KNOWN, "license_id, kind, text")).unionByName(rows(DIGESTS, "license_id, kind, digest"))
     if known is not None:
         d = d.unionByName(_digests(known.select("license_id", "kind", "text")))
     return d.groupBy("kind", "digest").agg(F.min("license_id").alias("license_id"))
