@@ -15,7 +15,7 @@ WITH raw AS (
 base AS (
   SELECT concat('q', l_orderkey, '_', CAST(floor((ord - 1) / 2.0) AS INT)) AS qname,
     CAST((CASE WHEN l_orderkey % 4 <> 0 THEN 1 + CASE WHEN ord % 2 = 1 THEN 64 ELSE 128 END ELSE 0 END) + (CASE WHEN qty <= 3 THEN 4 ELSE 0 END)
-      + (CASE WHEN l_returnflag = 'R' THEN 16 ELSE 0 END) + (CASE WHEN tax100 >= 7 THEN 512 ELSE 0 END) AS INT) AS flag,
+      + (CASE WHEN l_orderkey % 8 IN (1, 2, 3, 5) THEN 2 ELSE 0 END) + (CASE WHEN l_returnflag = 'R' THEN 16 ELSE 0 END) + (CASE WHEN tax100 >= 7 THEN 512 ELSE 0 END) AS INT) AS flag,
     CAST(l_suppkey % 5 AS INT) AS rname_id, CAST(l_partkey AS INT) AS pos, qty AS mapq, CAST(30 + l_suppkey % 40 AS INT) AS seq_len, concat('RG', l_suppkey % 3) AS rg, disc100 AS xm, tax100 AS xo, ord
   FROM raw)
 SELECT base.*,
@@ -27,17 +27,17 @@ SELECT reads.*, translate(substr(md5(concat(qname, '/', ord)), 1, 20), '01234567
   CASE WHEN xm % 5 = 0 THEN '12M2I6M' ELSE '20M' END AS cigar FROM reads""",
     "regions": """
 SELECT concat('o', o_orderkey) AS name, CAST(o_custkey % 5 AS INT) AS chrom, CASE o_orderstatus WHEN 'F' THEN '+' WHEN 'O' THEN '-' ELSE '*' END AS strand,
-  CAST((o_orderkey * 13) % 2100 AS INT) AS r_start, CAST((o_orderkey * 13) % 2100 + 1 + o_orderkey % 50 AS INT) AS r_end
+  CAST((o_orderkey * 5) % 2000000000 AS INT) AS r_start, CAST((o_orderkey * 5) % 2000000000 + 1 + o_orderkey % 50 AS INT) AS r_end
 FROM orders""",
     "annotations": """
 SELECT p_brand AS name, CAST(p_partkey % 5 AS INT) AS chrom, CASE CAST(p_partkey % 3 AS INT) WHEN 0 THEN '+' WHEN 1 THEN '-' ELSE '*' END AS strand,
-  CAST((p_partkey * 37) % 2000 AS INT) AS a_start, CAST((p_partkey * 37) % 2000 + p_size AS INT) AS a_end, p_partkey AS line_no
-FROM part WHERE p_partkey < 200""",
+  CAST((p_partkey * 37) % 2000000000 AS INT) AS a_start, CAST((p_partkey * 37) % 2000000000 + p_size AS INT) AS a_end, p_partkey AS line_no
+FROM part""",
     "alignments": """
 SELECT concat('a', o_orderkey) AS qname, f.ordinal AS file_ordinal, CAST((o_orderkey + f.ordinal) % 7 = 0 AS INT) AS unmapped, CAST(o_orderkey % 61 AS INT) AS mapq,
   CAST((o_orderkey * 7 + f.ordinal * 3) % 6 AS INT) AS xm, CAST((o_orderkey + f.ordinal) % 3 AS INT) AS xo, CAST((o_orderkey * 5 + f.ordinal) % 2 AS INT) AS xg
 FROM orders CROSS JOIN (SELECT 1 AS ordinal UNION ALL SELECT 2 UNION ALL SELECT 3) f""",
-    "refs": "SELECT * FROM (VALUES (0, 'chr1', 2100), (1, 'chr2', 2100), (2, 'chr3', 2100), (3, 'chrM', 2100), (4, 'chrX', 2100)) AS t(rname_id, sq_name, sq_length)",
+    "refs": "SELECT * FROM (VALUES (0, 'chr1', 250000000), (1, 'chr2', 250000000), (2, 'chr3', 250000000), (3, 'chrM', 250000000), (4, 'chrX', 250000000)) AS t(rname_id, sq_name, sq_length)",
     "read_groups": "SELECT * FROM (VALUES ('RG0', 'libA', 's1'), ('RG1', 'libB', 's1'), ('RG2', NULL, 's2')) AS t(rg_id, lb, sm)",
 }
 

@@ -21,8 +21,6 @@ def resolve(refs: list[tuple[int, str, int]], wanted: list[str]) -> dict[int, in
         if not name or not length.isdigit() or int(length) <= 0:
             raise ValueError(f"{w}: expected NAME:LENGTH")
         hits = [r for r in refs if r[1].startswith(name)]
-        exact = [r for r in hits if r[1] == name]
-        hits = exact or hits
         if len(hits) != 1:
             raise ValueError(f"{name}: {'no' if not hits else 'more than one'} reference has that name")
         if int(length) > hits[0][2]:

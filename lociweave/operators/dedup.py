@@ -73,6 +73,16 @@ def with_key(df: DataFrame, ignore_strand: bool = False) -> DataFrame:
     return df.withColumn("key", F.struct(F.col("library"), F.coalesce("rname_id", F.lit(-1)).alias("rname"), kind.alias("kind"), a.cast("int").alias("a"), b.cast("int").alias("b"), other.cast("int").alias("other"), role.cast("int").alias("role"), strand.alias("strand")))
 
 
+def junk(df: DataFrame) -> DataFrame:
+    """Records that a clean-up leaves out as unaligned; copied behind the others where they are kept."""
+    return df.where(~aligned())
+
+
+def keep_junk(deduplicated: DataFrame, df: DataFrame) -> DataFrame:
+    """deduplicated with the unaligned records of df, each of them once, after it in the order of inputs."""
+    return deduplicated.unionByName(junk(df), allowMissingColumns=True)
+
+
 def _best(order: list[str]) -> list[Column]:
     return [F.col("_quality").desc(), F.col("mapq").desc(), *[F.col(c) for c in order]]
 
@@ -83,18 +93,32 @@ def _quality(df: DataFrame) -> DataFrame:
 
 
 def collapse_cheap(df: DataFrame, order: list[str]) -> DataFrame:
-    """One record per key, xp: how many there were. Takes the best by sum of qualities, then mapq, then the first by ``order``. An aggregate, so that partial results are formed before the shuffle."""
-    df = _quality(df)
-    best = F.struct((-F.col("_quality")).alias("q"), (-F.col("mapq")).alias("m"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
-    rest = [c for c in df.columns if c not in ("key", "_quality")]
-    return df.groupBy("key").agg(F.min_by(F.struct(*rest), best).alias("r"), F.count("*").alias("xp")).select("key", "r.*", "xp")
+    """One record per key, xp: how many there were. Takes the best by sum of qualities, then mapq, then the first by ``order``.
 
+    Every task keeps one record a key before the shuffle (a limit on row_number is planned so), and counts are partial
+    aggregates, so that a deep cluster is reduced where it lies. Both come out partitioned by key, for the join.
+    """
+    size = df.groupBy(F.col("key").alias("_k")).agg(F.count("*").alias("xp"))
+    best = _winners(df, order)
+    return best.join(size, F.col("key").eqNullSafe(F.col("_k"))).select("key", *[c for c in df.columns if c != "key"], "xp")
 
-def mark(df: DataFrame, order: list[str]) -> DataFrame:
-    """All records; those that a collapse would drop are flagged as duplicates."""
+
+def _winners(df: DataFrame, order: list[str]) -> DataFrame:
     w = Window.partitionBy("key").orderBy(*_best(order))
-    df = _quality(df).withColumn("_n", F.row_number().over(w))
-    return df.withColumn("flag", F.when(F.col("_n") > 1, F.col("flag").bitwiseOR(S.DUPLICATE)).otherwise(F.col("flag"))).drop("_n", "_quality")
+    return _quality(df).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_quality")
+
+
+def mark(df: DataFrame, order: list[str]) -> DataFrame:
+    """All records; those that a collapse would drop are flagged as duplicates. ``order`` must tell the records of a key apart.
+
+    The best of each key is found as in ``collapse_cheap`` and joined back, so that a deep cluster's records need not meet in one task.
+    """
+    best = _winners(df.select("key", "mapq", *[c for c in df.columns if c == "qual"], *order), order).select(F.col("key").alias("_k"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
+    same = F.lit(True)
+    for i, c in enumerate(order):
+        same = same & F.col(c).eqNullSafe(F.col(f"_o{i}"))
+    df = df.join(best, F.col("key").eqNullSafe(F.col("_k")))
+    return df.withColumn("flag", F.when(same, F.col("flag")).otherwise(F.col("flag").bitwiseOR(S.DUPLICATE))).drop("_k", *[f"_o{i}" for i in range(len(order))])
 
 
 def drop_shadowed(df: DataFrame) -> DataFrame:
@@ -108,8 +132,9 @@ def drop_shadowed(df: DataFrame) -> DataFrame:
 def histogram(collapsed: DataFrame, size: int = HISTOGRAM_SIZE) -> DataFrame:
     """n, clusters: how many clusters have n members, for n from 0 to the largest below ``size``."""
     h = collapsed.where((F.col("xp") >= 0) & (F.col("xp") < size)).groupBy(F.col("xp").cast("int").alias("n")).agg(F.count("*").alias("clusters"))
-    top = h.agg(F.max("n").alias("top")).where("top is not null")
-    return top.select(F.explode(F.sequence(F.lit(0), "top")).alias("n")).join(h, "n", "left").select("n", F.coalesce("clusters", F.lit(0)).cast("long").alias("clusters"))
+    # At most ``size`` rows: one map, so that the clusters are counted once.
+    one = h.agg(F.max("n").alias("top"), F.map_from_entries(F.collect_list(F.struct("n", "clusters"))).alias("m")).where("top is not null")
+    return one.select(F.explode(F.sequence(F.lit(0), "top")).alias("n"), "m").select("n", F.coalesce(F.element_at("m", F.col("n")), F.lit(0)).cast("long").alias("clusters"))
 
 
 def library_counts(collapsed: DataFrame) -> DataFrame:

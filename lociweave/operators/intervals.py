@@ -158,6 +158,12 @@ def table_lines(annotated: DataFrame) -> DataFrame:
     return annotated.where((F.size("hits") > 0) | F.col("near").isNotNull()).select("name", hit.alias("annotation"))
 
 
+def table_file(annotated: DataFrame) -> DataFrame:
+    """value: the table's lines; the header line is the first."""
+    head = annotated.sparkSession.sql("select '#RegionName\\tID' as value")
+    return head.unionByName(table_lines(annotated).select(F.concat_ws("\t", "name", "annotation").alias("value")))
+
+
 def summary(annotated: DataFrame, file: str, files: list[str] | None = None) -> DataFrame:
     """annotation, and for each input file how many of its regions hit it; near misses don't count."""
     one = annotated.select(file, F.explode("hits").alias("annotation"))

@@ -145,6 +145,27 @@ def statistics(repaired: DataFrame, kill: str = "none") -> DataFrame:
     )
 
 
+def repair_lines(pairs: DataFrame, kinds: tuple[str, ...] = ("mrnm", "mpos", "isize", "flags", "fflag", "ixs")) -> DataFrame:
+    """qname, mate, line: each repair of these kinds with the wrong value and the right one; pairs: not yet repaired."""
+    fixed = repair(pairs.withColumns({"_r1": F.col("r1"), "_r2": F.col("r2")}))
+    tagged = "ixs" in fixed.select("fix1.*").columns
+
+    def of(a: str, fix: str, mate: int) -> DataFrame:
+        old, new = F.col(f"_{a}"), F.col(a)
+        number = lambda c: F.coalesce(c, F.lit(-1)).cast("string")
+        hexa = lambda c: F.lpad(F.hex(c.cast("long")), 3, "0")
+        bits = lambda word: F.concat(F.lit("FLAG "), hexa(old["flag"]), F.lit(f" is {word} (+"), hexa(new["flag"].bitwiseAND(F.bitwise_not(old["flag"]))), F.lit(",-"), hexa(old["flag"].bitwiseAND(F.bitwise_not(new["flag"]))), F.lit(")"))
+        plain = lambda name, c: F.concat(F.lit(f"{name} "), number(old[c]), F.lit(" is wrong ("), number(new[c]), F.lit(")"))
+        said = {"mrnm": plain("MRNM", "mrnm_id"), "mpos": plain("MPOS", "mpos"), "isize": plain("ISIZE", "isize"), "flags": bits("wrong"), "fflag": bits("technically wrong")}
+        if tagged:
+            show = lambda r: F.concat_ws(",", *[S.tag_string(r["tags"], k) for k in INDEX_TAGS])
+            said["ixs"] = F.concat(F.lit("Index fields "), show(old), F.lit(" are wrong ("), show(new), F.lit(")"))
+        each = F.filter(F.array(*[F.when(F.col(f"{fix}.{k}"), said[k]) for k in kinds if k in said]), lambda x: x.isNotNull())
+        return fixed.where("kind = 'pair'").select(old["qname"].alias("qname"), F.lit(mate).alias("mate"), F.explode(each).alias("line"))
+
+    return of("r1", "fix1", 1).unionByName(of("r2", "fix2", 2))
+
+
 def repairs(repaired: DataFrame) -> DataFrame:
     """qname, mate, kind of every repair that was made."""
     fixes = repaired.select("fix1.*").columns

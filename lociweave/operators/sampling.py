@@ -28,18 +28,20 @@ def concat(inputs: list[DataFrame]) -> DataFrame:
 
 
 def concat_refs(inputs: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
-    """(records, refs) of several files as one: later files' reference ids are shifted by the number of references before."""
-    refs, records, shift = None, [], 0
-    for df, r in inputs:
+    """(records, refs) of several files as one. The first file's references come first, then those of the last, the last but one and so on; reference ids are shifted by the number of references before."""
+    refs, records, shift = None, {}, 0
+    for n in [0, *range(len(inputs) - 1, 0, -1)]:
+        df, r = inputs[n]
         moved = r.withColumn("rname_id", (F.col("rname_id") + shift).cast("int"))
         refs = moved if refs is None else refs.unionByName(moved)
-        records.append(df.withColumns({c: (F.col(c) + shift).cast("int") for c in ("rname_id", "mrnm_id") if c in df.columns}))
+        records[n] = df.withColumns({c: (F.col(c) + shift).cast("int") for c in ("rname_id", "mrnm_id") if c in df.columns})
         shift += r.count()  # a header's references
-    return concat(records), refs
+    return concat([records[n] for n in range(len(inputs))]), refs
 
 
 def parse_range(which: str) -> tuple[int, int] | None | str:
-    """A: everything; U: unaligned; n or n-m: references counted from 1. As None, "U", or ids from 0 with both ends."""
+    """A: everything; U: unaligned; n or n-m: references counted from 1; letters in either case. As None, "U", or ids from 0 with both ends."""
+    which = which.upper()
     if which == "A":
         return None
     if which == "U":

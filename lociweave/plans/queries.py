@@ -18,7 +18,7 @@ ORACLES: dict[str, str] = {}
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
-        if sql:
+        if sql is not None:
             ORACLES[f.__name__] = with_views(sql)
         return f
 
@@ -100,12 +100,12 @@ def single_read_projection(spark, d):
     return rewrite.make_single(records(spark, d)).select("qname", "ord", "flag", "mrnm_id", "mpos", "isize")
 
 
-@query("SELECT qname, ord FROM reads WHERE flag & 1 = 0")
+@query("SELECT qname, ord FROM reads WHERE flag & 1 = 0 OR (flag & 2 <> 0 AND (flag & 4 <> 0) = (flag & 8 <> 0))")
 def proper_filter(spark, d):
     return records(spark, d).where(dedup.proper()).select("qname", "ord")
 
 
-@query("SELECT qname, ord FROM reads WHERE seq_len >= 45 AND mapq >= 20")
+@query("SELECT qname, ord FROM reads WHERE CASE WHEN flag & 3 = 3 THEN 0 ELSE seq_len END >= 45 AND mapq >= 20")
 def min_length(spark, d):
     return dedup.clean(records(spark, d), improper=True, least_length=45, least_mapq=20).select("qname", "ord")
 
@@ -137,8 +137,8 @@ def _sql_key(library: str = "library", strand: str = "flag & 16") -> str:
     return "WITH " + _KEY.format(library=library, strand=strand)
 
 
-def _keyed(spark, d, ignore_strand: bool = False, ignore_rg: bool = False) -> DataFrame:
-    df = dedup.clean(records(spark, d), improper=True)
+def _keyed(spark, d, ignore_strand: bool = False, ignore_rg: bool = False, sequences: bool = False) -> DataFrame:
+    df = dedup.clean(records(spark, d, sequences), improper=True)
     return dedup.with_key(dedup.label(df, view(spark, d, "read_groups"), ignore_rg), ignore_strand)
 
 
@@ -151,9 +151,34 @@ def dedup_clusters(spark, d):
 _CHEAP = " SELECT qname, ord, mapq, xp FROM (SELECT qname, ord, mapq, count(*) OVER (PARTITION BY key) AS xp, row_number() OVER (PARTITION BY key ORDER BY mapq DESC, qname, ord) AS n FROM c) WHERE n = 1"
 
 
-@query(_sql_key() + _CHEAP)
+@query(_sql_key().replace("FROM reads", "FROM sequences") + _CHEAP.replace("ORDER BY mapq", "ORDER BY list_sum(list_transform(string_split(qual, ''), lambda x: ascii(x) - 33)) DESC, mapq"))
 def dedup_cheap(spark, d):
-    return dedup.collapse_cheap(_keyed(spark, d), _ORDER).select("qname", "ord", "mapq", "xp")
+    """The best by sum of qualities, then by mapping quality."""
+    return dedup.collapse_cheap(_keyed(spark, d, sequences=True), _ORDER).select("qname", "ord", "mapq", "xp")
+
+
+@query("""WITH k AS (SELECT *, CASE WHEN rg = 'RG0' THEN 'libA' WHEN rg = 'RG1' THEN 'libB' ELSE 's2' END AS library, flag & 1 <> 0 AND flag & 4 = 0 AND flag & 8 = 0 AND mpos >= 0 AS two,
+  flag & 1 = 0 AND xm % 2 = 0 AS merged, CASE cigar WHEN '20M' THEN 20 ELSE 18 END AS n FROM sequences WHERE NOT (flag & 4 <> 0 AND flag & 8 <> 0) AND rname_id IS NOT NULL),
+c AS (SELECT *, concat_ws('/', library, rname_id, flag & 16, CASE WHEN two THEN concat_ws('/', 'p', least(pos, mpos), greatest(pos, mpos), coalesce(mrnm_id, -1), flag & 192)
+  WHEN merged THEN concat_ws('/', 'm', pos + CASE WHEN flag & 16 <> 0 THEN n ELSE 0 END, n) ELSE concat_ws('/', 's', pos) END) AS key FROM k)""" + _CHEAP.replace("ORDER BY mapq", "ORDER BY list_sum(list_transform(string_split(qual, ''), lambda x: ascii(x) - 33)) DESC, mapq"))
+def dedup_merged(spark, d):
+    """Merged reads go by their 5' end and length."""
+    df = records(spark, d, True)
+    df = df.withColumn("tags", F.when((F.col("xm") % 2 == 0) & (F.col("flag").bitwiseAND(1) == 0), S.put_tags(F.col("tags"), {"FF": S.tag_int(F.lit(S.MERGED))})).otherwise(F.col("tags")))
+    df = dedup.with_key(dedup.label(dedup.clean(df, improper=True), view(spark, d, "read_groups")))
+    return dedup.collapse_cheap(df, _ORDER).select("qname", "ord", "mapq", "xp")
+
+
+@query(_sql_key().replace("FROM reads", "FROM (SELECT * FROM reads WHERE NOT (flag & 4 <> 0 AND xm % 3 = 0))") + ", o AS (SELECT qname, ord, row_number() OVER (PARTITION BY key ORDER BY mapq DESC, qname, ord) AS n FROM c) SELECT qname, ord FROM o WHERE n = 1 UNION ALL SELECT qname, ord FROM reads WHERE flag & 4 <> 0 AND xm % 3 = 0")
+def dedup_keep_junk(spark, d):
+    """Every third unmapped read has an unmapped mate; those come back behind the others."""
+    df = records(spark, d).withColumn("flag", _unmapped_mate())
+    kept = dedup.collapse_cheap(dedup.with_key(dedup.label(dedup.clean(df, improper=True), view(spark, d, "read_groups"))), _ORDER)
+    return dedup.keep_junk(kept, df).select("qname", "ord")
+
+
+def _unmapped_mate():
+    return F.when((F.col("flag").bitwiseAND(S.UNMAPPED) != 0) & (F.col("xm") % 3 == 0), F.col("flag").bitwiseOR(S.MATE_UNMAPPED)).otherwise(F.col("flag"))
 
 
 @query(_sql_key(strand="0") + _CHEAP)
@@ -398,11 +423,32 @@ def meld_outer(spark, d):
 
 
 @query("""SELECT qname, ord, CAST(CASE WHEN rname_id = 3 AND pos >= 0 THEN 200 + ((pos - 200) % 1900 + 1900) % 1900 ELSE pos END AS INT) AS pos,
-CAST(CASE WHEN mrnm_id = 3 AND mpos >= 0 THEN 200 + ((mpos - 200) % 1900 + 1900) % 1900 ELSE mpos END AS INT) AS mpos FROM reads WHERE pos < 2100""")
+CAST(CASE WHEN mrnm_id = 3 AND mpos >= 0 THEN 200 + ((mpos - 200) % 1900 + 1900) % 1900 ELSE mpos END AS INT) AS mpos FROM (SELECT qname, ord, rname_id, mrnm_id, pos % 2100 AS pos, CASE WHEN mpos >= 0 THEN mpos % 2100 ELSE mpos END AS mpos FROM reads)""")
 def circular_normalize(spark, d):
-    refs = view(spark, d, "refs")
+    df, refs = _ring(spark, d)
     lengths = circular.resolve([tuple(r) for r in refs.collect()], ["chrM:1900"])
-    return circular.normalize(records(spark, d).where("pos < 2100"), refs, lengths).select("qname", "ord", "pos", "mpos")
+    return circular.normalize(df, refs, lengths).select("qname", "ord", "pos", "mpos")
+
+
+@query("""WITH p AS (SELECT qname, ord, rname_id, mapq, xm, pos % 2100 AS pos FROM reads), n AS (SELECT *, CASE WHEN rname_id = 3 THEN 200 + ((pos - 200) % 1900 + 1900) % 1900 ELSE pos END AS np,
+  CASE WHEN xm % 3 = 0 THEN pos + 1900 ELSE pos + 7 END AS there FROM p)
+SELECT qname, ord, CAST(CASE WHEN rname_id = 3 AND xm % 3 < 2 AND 200 + ((there - 200) % 1900 + 1900) % 1900 = np THEN 37 ELSE mapq END AS INT) AS mapq, NOT (rname_id = 3 AND xm % 3 < 2 AND 200 + ((there - 200) % 1900 + 1900) % 1900 = np) AS xa FROM n""")
+def circular_doubled(spark, d):
+    """A hit whose only alternative is the same place in the other copy of the padded part is a unique one."""
+    df, refs = _ring(spark, d)
+    strand = F.when(F.col("flag").bitwiseAND(S.REVERSED) != 0, "-").otherwise("+")
+    there = F.when(F.col("xm") % 3 == 0, F.col("pos") + 1901).otherwise(F.col("pos") + 8)
+    one = F.concat(F.lit("chrM,"), strand, there.cast("string"), F.lit(",20M,0;"))
+    xa = F.when(F.col("xm") % 3 == 2, F.concat(one, one)).otherwise(one)
+    df = df.withColumn("tags", S.put_tags(F.col("tags"), {"XA": S.tag_text(xa)}))
+    out = circular.normalize(df, refs, circular.resolve([tuple(r) for r in refs.collect()], ["chrM:1900"]))
+    return out.select("qname", "ord", "mapq", F.map_contains_key("tags", F.lit("XA")).alias("xa"))
+
+
+def _ring(spark, d):
+    """Records folded into references of 2100."""
+    fold = lambda c: F.when(F.col(c) >= 0, F.col(c) % 2100).otherwise(F.col(c)).cast("int")
+    return records(spark, d).withColumns({"pos": fold("pos"), "mpos": fold("mpos")}), view(spark, d, "refs").withColumn("sq_length", F.lit(2100))
 
 
 @query("SELECT CAST(rname_id AS INT) AS rname_id, sq_name, CASE WHEN sq_name = 'chrM' THEN 1900 ELSE sq_length END AS sq_length FROM refs")
@@ -413,15 +459,20 @@ def circular_lengths(spark, d):
 
 @query("SELECT qname, ord, CAST(row_number() OVER (PARTITION BY rname_id ORDER BY pos, qname, ord) AS INT) AS place FROM reads")
 def sort_coordinate(spark, d):
-    """The place of each record within its reference; the operator itself is a range-partitioned sort."""
-    df = sampling.sort_records(records(spark, d), "qname", "ord")
-    return df.select("qname", "ord", F.row_number().over(Window.partitionBy("rname_id").orderBy("pos", "qname", "ord")).alias("place"))
+    """The place of each record within its reference, by the order in which the sort returns them."""
+    return _places(sampling.sort_records(records(spark, d), "qname", "ord")).select("qname", "ord", "place")
+
+
+def _places(df: DataFrame) -> DataFrame:
+    """Adds place: the row's number within its reference as the rows come, partition after partition."""
+    return df.withColumn("_came", F.monotonically_increasing_id()).withColumn("place", F.row_number().over(Window.partitionBy("rname_id").orderBy("_came")))
 
 
-@query("SELECT qname, ord, rname_id, pos, CASE WHEN flag & 16 <> 0 THEN 1 ELSE 0 END AS file_ordinal FROM reads")
+@query("SELECT qname, ord, rname_id, pos, CASE WHEN flag & 16 <> 0 THEN 1 ELSE 0 END AS file_ordinal, CAST(row_number() OVER (PARTITION BY rname_id ORDER BY pos, qname, ord) AS INT) AS place FROM reads")
 def merge_coordinate(spark, d):
     df = records(spark, d)
-    return sampling.merge([df.where(~S.bit(F.col("flag"), S.REVERSED)), df.where(S.bit(F.col("flag"), S.REVERSED))], "qname", "ord").select("qname", "ord", "rname_id", "pos", "file_ordinal")
+    merged = sampling.merge([df.where(~S.bit(F.col("flag"), S.REVERSED)), df.where(S.bit(F.col("flag"), S.REVERSED))], "qname", "ord")
+    return _places(merged).select("qname", "ord", "rname_id", "pos", "file_ordinal", "place")
 
 
 @query("SELECT r.qname, ord FROM reads r JOIN (SELECT qname FROM reads GROUP BY qname ORDER BY md5(qname), qname LIMIT 500) s ON r.qname = s.qname")

@@ -59,19 +59,21 @@ def dedup_consensus(spark, d):
     return dedup.collapse_consensus(df, ["qname", "ord"]).select("library", "rname_id", "cigar", "seq", "qual", "xp").distinct()
 
 
-@query("""WITH n AS (SELECT qname, ord, rname_id, flag, CASE WHEN rname_id = 3 THEN pos % 500 ELSE pos END AS pos FROM sequences WHERE pos < 2100 AND cigar = '20M')
-SELECT qname, ord, CAST(pos AS INT) AS pos, CASE WHEN rname_id = 3 AND pos > 480 THEN concat(500 - pos, 'M', pos - 480, 'S') ELSE '20M' END AS cigar, flag FROM n
-UNION ALL SELECT qname, ord, 0, concat(500 - pos, 'S', pos - 480, 'M'), flag | 256 FROM n WHERE rname_id = 3 AND pos > 480""")
+@query("""WITH n AS (SELECT qname, ord, rname_id, flag, cigar, CASE WHEN rname_id = 3 THEN pos % 500 ELSE pos END AS pos, CASE cigar WHEN '20M' THEN 20 ELSE 18 END AS len FROM sequences),
+o AS (SELECT *, rname_id = 3 AND pos + len > 500 AS over, 500 - pos AS l, pos + len - 500 AS r FROM n)
+SELECT qname, ord, CAST(pos AS INT) AS pos, CASE WHEN NOT over THEN cigar WHEN cigar = '20M' THEN concat(l, 'M', r, 'S') WHEN l < 12 THEN concat(l, 'M', r + 2, 'S') WHEN l = 12 THEN '12M2I6S' ELSE concat('12M2I', l - 12, 'M', r, 'S') END AS cigar, flag FROM o
+UNION ALL SELECT qname, ord, 0, CASE WHEN cigar = '20M' THEN concat(l, 'S', r, 'M') WHEN l < 12 THEN concat(l, 'S', 12 - l, 'M2I6M') WHEN l = 12 THEN '14S6M' ELSE concat(l + 2, 'S', r, 'M') END, flag | 256 FROM o WHERE over""")
 def wrap_split(spark, d):
-    df = records(spark, d, True).where("pos < 2100 and cigar = '20M'")
+    df = records(spark, d, True)
     return circular.wrap(df, {3: 500}).select("qname", "ord", "pos", "cigar", "flag")
 
 
-@query("""SELECT qname, ord FROM sequences WHERE cigar = '20M' AND mapq >= 25 AND ((ord % 2 = 0 AND substr(seq, 2, 1) = 'T') OR (ord % 2 = 1 AND substr(seq, 20, 1) = 'A'))""")
+@query("""SELECT qname, ord FROM sequences WHERE mapq >= 25 AND ((ord % 2 = 0 AND substr(seq, 2, 1) = 'T') OR (ord % 2 = 1 AND substr(seq, 20, 1) = 'A'))""")
 def filter_deaminated(spark, d):
     """MD claims a C at the second place of even records, a G at the last of odd ones."""
-    df = records(spark, d, True).where("cigar = '20M'")
-    md = F.when(F.col("ord") % 2 == 0, "1C18").otherwise("19G0")
+    df = records(spark, d, True)
+    n = F.when(F.col("cigar") == "20M", 18).otherwise(16)  # inserted bases have no place in MD
+    md = F.when(F.col("ord") % 2 == 0, F.concat(F.lit("1C"), n.cast("string"))).otherwise(F.concat((n + 1).cast("string"), F.lit("G0")))
     df = df.withColumn("tags", S.put_tags(F.col("tags"), {"MD": S.tag_text(md)}))
     return filter_records(df, "MAPQ >= 25 && deaminated 2").select("qname", "ord")
 

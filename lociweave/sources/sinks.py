@@ -49,16 +49,32 @@ def header_lines(refs: DataFrame, read_groups: DataFrame | None = None, program:
     return out + ([f"@PG\tID:lociweave\tPN:lociweave\tCL:{program}"] if program else [])
 
 
-def write_sam(records: DataFrame, refs: DataFrame, path: str, read_groups: DataFrame | None = None) -> None:
-    """A folder of SAM text: the header in a file of its own, then a file per partition."""
-    lines = records.sparkSession.createDataFrame([(x,) for x in header_lines(refs, read_groups)], "value string").coalesce(1)
+def write_sam(records: DataFrame, refs: DataFrame, path: str, read_groups: DataFrame | None = None, program: str | None = None) -> None:
+    """A folder of SAM text: the header in a file of its own, then a file per partition. program: the command line for @PG."""
+    lines = records.sparkSession.createDataFrame([(x,) for x in header_lines(refs, read_groups, program)], "value string").coalesce(1)
     sam_lines(records, refs).select("value").write.mode("overwrite").text(path)
     lines.write.mode("append").text(path)
 
 
-def split_by_library(records: DataFrame, path: str) -> None:
-    """Parquet in one folder per library; records need the column library."""
-    records.write.mode("overwrite").partitionBy("library").parquet(path)
+def split_by_library(records: DataFrame, path: str, pattern: str = "%s") -> dict[str, str]:
+    """Parquet in one folder per library below ``path``, named by the pattern; records need the column library. Returns the folder of each library.
+
+    All libraries are written in one pass; their folders are then renamed.
+    """
+    spark = records.sparkSession
+    written = records.withColumn("_library", F.hex(F.encode(F.coalesce("library", F.lit("")), "UTF-8")))
+    written.write.mode("overwrite").partitionBy("_library").parquet(path)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    top = jvm.org.apache.hadoop.fs.Path(path)
+    fs, out = top.getFileSystem(conf), {}
+    for f in fs.listStatus(top):
+        _, mark, code = f.getPath().getName().partition("_library=")
+        if mark:
+            library = "" if code == "__HIVE_DEFAULT_PARTITION__" else bytes.fromhex(code).decode()
+            to = jvm.org.apache.hadoop.fs.Path(top, library_pattern(pattern, library.replace("/", "_") or "--"))
+            fs.rename(f.getPath(), to)
+            out[library] = str(to)
+    return out
 
 
 def fastq_streams(records: DataFrame) -> dict[str, DataFrame]:

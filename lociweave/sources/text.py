@@ -35,8 +35,12 @@ def _fail(message: str, value: Column) -> Column:
 
 
 def read_bed(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """name, chrom, strand, start, end. Empty lines, comments and track lines are skipped; fewer than four fields are an error."""
-    df = lines(spark, paths).withColumn("f", F.split("value", "\t"))
+    return parse_bed(lines(spark, paths))
+
+
+def parse_bed(df: DataFrame) -> DataFrame:
+    """name, chrom, strand, start, end of lines (value, file_ordinal, line_no). Empty lines, comments and track lines are skipped; fewer than four fields are an error."""
+    df = df.withColumn("f", F.split("value", "\t"))
     df = df.where((F.col("value") != "") & ~F.col("value").startswith("#") & (F.col("f")[0] != "track") & ~F.col("value").startswith("track "))
     field = lambda i: F.get("f", F.lit(i))
     name = F.when(F.size("f") >= 4, field(3)).otherwise(_fail("too few fields: ", F.col("value")).cast("string"))
@@ -44,24 +48,36 @@ def read_bed(spark: SparkSession, paths: list[str] | str) -> DataFrame:
 
 
 def read_5col(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    return parse_5col(lines(spark, paths))
+
+
+def parse_5col(df: DataFrame) -> DataFrame:
     """name, chrom, strand, start, end from fields between white space."""
-    df = lines(spark, paths).withColumn("f", F.split(F.trim("value"), r"\s+")).where((F.trim("value") != "") & ~F.col("value").startswith("#"))
+    df = df.withColumn("f", F.split(F.trim("value"), r"\s+")).where((F.trim("value") != "") & ~F.col("value").startswith("#"))
     field = lambda i: F.get("f", F.lit(i))
     name = F.when(F.size("f") >= 4, field(0)).otherwise(_fail("too few fields: ", F.col("value")).cast("string"))
     return df.select(name.alias("name"), field(1).alias("chrom"), parse_strand(field(4)).alias("strand"), field(2).cast("int").alias("start"), field(3).cast("int").alias("end"), "file_ordinal", "line_no")
 
 
 def read_fasta_regions(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    return parse_fasta_regions(lines(spark, paths))
+
+
+def parse_fasta_regions(df: DataFrame) -> DataFrame:
     """Regions named in FastA headers: >chrom:strand:start:end...;more. The whole label is the region's name."""
-    df = lines(spark, paths).where(F.col("value").startswith(">"))
+    df = df.where(F.col("value").startswith(">"))
     df = df.select(F.posexplode(F.split(F.substring("value", 2, 1 << 30), ";")).alias("_i", "name"), "file_ordinal", "line_no").where(F.trim("name") != "").withColumn("f", F.split("name", ":"))
     field = lambda i: F.get("f", F.lit(i))
     return df.select("name", field(0).alias("chrom"), parse_strand(field(1)).alias("strand"), field(2).cast("int").alias("start"), F.regexp_extract(field(3), r"^\d+", 0).cast("int").alias("end"), "file_ordinal", "line_no")
 
 
 def read_chromosomes(spark: SparkSession, path: str) -> DataFrame:
+    return parse_chromosomes(lines(spark, path))
+
+
+def parse_chromosomes(df: DataFrame) -> DataFrame:
     """ensembl, ucsc, shift; a name that comes again has the later line's values."""
-    df = lines(spark, path).where(~F.col("value").startswith("#") & (F.trim("value") != "")).withColumn("f", F.split(F.trim("value"), r"\s+"))
+    df = df.where(~F.col("value").startswith("#") & (F.trim("value") != "")).withColumn("f", F.split(F.trim("value"), r"\s+"))
     field = lambda i: F.get("f", F.lit(i))
     name = F.when(F.size("f") >= 3, field(0)).otherwise(_fail("too few fields: ", F.col("value")).cast("string"))
     df = df.select(name.alias("ensembl"), field(1).alias("ucsc"), field(2).cast("int").alias("shift"), "line_no")
@@ -81,33 +97,61 @@ def parse_tags(fields: Column) -> Column:
     return F.map_from_entries(F.transform(parts, lambda p: F.struct(p[0].alias("key"), _tag(p[1], p[2]).alias("value"))))
 
 
-def sam_header(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """refs and read_groups of a SAM file's header; ids of references count from 0 in order."""
-    head = lines(spark, path).where(F.col("value").startswith("@"))
-    get = lambda k: F.nullif(F.regexp_extract("value", rf"\t{k}:([^\t]*)", 1), F.lit(""))
-    sq = head.where(F.col("value").startswith("@SQ")).select(get("SN").alias("sq_name"), get("LN").cast("int").alias("sq_length"), "line_no")
-    from pyspark.sql.window import Window
+def _head(spark: SparkSession, path: str) -> list[str]:
+    """The lines before the first that doesn't begin with @, read from the file's top only."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    file = jvm.org.apache.hadoop.fs.Path(path)
+    fs = file.getFileSystem(conf)
+    tops = [f.getPath() for f in fs.listStatus(file)] if fs.getFileStatus(file).isDirectory() else [file]
+    out = []
+    for top in sorted(tops, key=str):
+        if top.getName()[0] in "._":
+            continue
+        stream = fs.open(top)
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(top)
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec is not None else stream, "UTF-8"))
+        while (line := reader.readLine()) is not None and line.startswith("@"):
+            out.append(line)
+        reader.close()
+    return out
+
+
+def parse_sam_header(spark: SparkSession, head: list[str]) -> tuple[DataFrame, DataFrame]:
+    """refs and read_groups of header lines; ids of references count from 0 in order."""
 
-    refs = sq.select((F.row_number().over(Window.orderBy("line_no")) - 1).alias("rname_id"), "sq_name", "sq_length")
-    return refs, head.where(F.col("value").startswith("@RG")).select(get("ID").alias("rg_id"), get("LB").alias("lb"), get("SM").alias("sm"))
+    def rows(mark: str, *keys: str) -> list[tuple]:
+        fields = [dict(x.partition(":")[::2] for x in line.split("\t")[1:]) for line in head if line.startswith(mark)]
+        return [tuple(f.get(k) or None for k in keys) for f in fields]
+
+    refs = [(n, name, int(k) if k and k.isdigit() else None) for n, (name, k) in enumerate(rows("@SQ", "SN", "LN"))]
+    return spark.createDataFrame(refs, S.REFS), spark.createDataFrame(rows("@RG", "ID", "LB", "SM"), S.READ_GROUPS)
+
+
+def sam_header(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """refs and read_groups of a SAM file's header."""
+    return parse_sam_header(spark, _head(spark, path))
 
 
 def read_sam(spark: SparkSession, path: str, file_ordinal: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """records, refs, read_groups of a SAM file."""
     refs, groups = sam_header(spark, path)
-    df = lines(spark, path).where(~F.col("value").startswith("@") & (F.col("value") != "")).withColumn("f", F.split("value", "\t"))
+    return parse_sam(lines(spark, path), refs, file_ordinal), refs, groups
+
+
+def parse_sam(df: DataFrame, refs: DataFrame, file_ordinal: int = 0) -> DataFrame:
+    """Records of lines (value, line_no) of SAM."""
+    df = df.where(~F.col("value").startswith("@") & (F.col("value") != "")).withColumn("f", F.split("value", "\t"))
     field = lambda i: F.get("f", F.lit(i))
     name = F.when(field(6) == "=", field(2)).otherwise(field(6))
     ids = lambda c, k: F.broadcast(refs.select(F.col("rname_id").alias(c), F.col("sq_name").alias(k)))
     df = df.withColumns({"_r": field(2), "_m": name}).join(ids("rname_id", "_rn"), F.col("_r") == F.col("_rn"), "left").join(ids("mrnm_id", "_mn"), F.col("_m") == F.col("_mn"), "left")
     star = lambda x: F.when(x != "*", x)
-    records = df.select(
+    return df.select(
         field(0).alias("qname"), field(1).cast("int").alias("flag"), "rname_id", (field(3).cast("int") - 1).alias("pos"), field(4).cast("int").alias("mapq"), star(field(5)).alias("cigar"), "mrnm_id",
         (field(7).cast("int") - 1).alias("mpos"), field(8).cast("int").alias("isize"), star(field(9)).alias("seq"), star(field(10)).alias("qual"),
         F.when(F.size("f") > 11, parse_tags(F.slice("f", 12, 1 << 20))).otherwise(F.map_from_entries(F.array().cast("array<struct<key:string,value:struct<t:string,i:bigint,f:double,s:string>>>"))).alias("tags"),
         F.lit(file_ordinal).alias("file_ordinal"), F.col("line_no").alias("rec_no"),
     )
-    return records, refs, groups
 
 
 def records_as_regions(records: DataFrame, refs: DataFrame) -> DataFrame:
@@ -132,11 +176,11 @@ def sniff(path: str, size: int = 1 << 16) -> str:
         return "fasta"
     if text[:1] == b"@":
         return "sam"
-    first, _, rest = text.partition(b"\n")
+    first = text.partition(b"\n")[0]
     fields = first.split(b"\t")
     if len(fields) >= 11 and fields[1].isdigit() and fields[3].isdigit() and fields[4].isdigit():
         return "sam"
-    if any(c < 9 or 13 < c < 32 for c in rest):
+    if any(c < 9 or 13 < c < 32 for c in first):
         raise FormatError(f"{path}: neither alignments nor text")
     return "bed"
 

@@ -20,7 +20,7 @@ def plain(v):
     return [plain(x) for x in v] if isinstance(v, list) else v
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query(spark, db, name):
     df = QUERIES[name](spark, DATA)
     columns = sorted(df.columns)

@@ -1,5 +1,8 @@
 """Mates, duplicates, melding, circular references, rewrites and sampling on small frames."""
 
+import collections
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,8 +138,8 @@ REFS = [(0, "chr1", 100), (1, "chrM", 120), (2, "chrMT", 50)]
 
 
 def test_circular_names():
-    assert circular.resolve(REFS, ["chrM:100", "chrMT:50"]) == {1: 100, 2: 50}
-    for bad in ("chr:9", "chrX:9", "chrM:121", "chrM", "chrM:0"):
+    assert circular.resolve(REFS, ["chrMT:50", "chr1:7"]) == {2: 50, 0: 7}
+    for bad in ("chr:9", "chrM:100", "chrX:9", "chrM:121", "chrM", "chrM:0"):
         with pytest.raises(ValueError):
             circular.resolve(REFS, [bad])
 
@@ -223,9 +226,48 @@ def test_sort_check(record):
         sampling.ensure_sorted(record([{"qname": "b"}, {"qname": "a"}]), "qname").collect()
 
 
+def test_many_merges():
+    """All at once as one by one, for reads of several lengths, lower-case and empty ones too."""
+    r = random.Random(4)
+    rows = []
+    for _ in range(400):
+        insert = "".join(r.choice("ACGT") for _ in range(r.randint(5, 60)))
+        n1, n2 = r.choice([20, 33]), r.choice([20, 31])
+        reads = [(insert + merging.ADAPTERS[0])[:n1], (merging.reverse_complement(insert) + merging.ADAPTERS[1])[:n2]]
+        reads = ["".join(r.choice("ACGTN") if r.random() < 0.05 else c for c in x) for x in reads]
+        rows.append(sum(([x.lower() if r.random() < 0.1 else x, "".join(chr(33 + r.randint(0, 40)) for _ in x)] for x in reads), []))
+    rows += [["", "", "ACG", "III"], ["A", "I", "T", "I"]]
+    assert merging.merge_many(*map(list, zip(*rows))) == [merging.merge_pair(*x) for x in rows]
+
+
+def test_merged_pairs_of_the_tables(spark):
+    from lociweave.plans.source_queries import merge_pairs, overlapping_pairs
+
+    d = "/root/testdata/sf0.001"
+    want = []
+    for p in overlapping_pairs(spark, d).collect():
+        if p.r2 is None:
+            n, ym = merging.trim_adapter(p.r1.seq, p.r1.qual)
+            want.append((p.r1.qname, p.r1.seq[:n] if ym > 200 else None, ym))
+        else:
+            n, ym, yn, seq, _ = merging.merge_pair(p.r1.seq, p.r1.qual, p.r2.seq, p.r2.qual)
+            want.append((p.r1.qname, seq if min(ym, yn) > 200 else None, min(ym, yn)))
+    got = collections.defaultdict(list)
+    for x in merge_pairs(spark, d).collect():
+        got[x.qname].append(x)
+    assert {n for n, _, _ in want} == set(got)
+    for name, seq, sure in want:
+        if seq is not None and sure > 200:
+            assert [x.seq for x in got[name]] == [seq]
+        elif sure < 20:
+            assert all(x.ff in (0, None) for x in got[name])
+
+
 def test_header_merge(record, spark):
     refs = spark.createDataFrame([(0, "a", 1), (1, "b", 1)], S.REFS)
     df = record([{"rname_id": 1, "mrnm_id": None}])
     records, all_ = sampling.concat_refs([(df, refs), (df, refs)])
     assert sorted((r.file_ordinal, r.rname_id, r.mrnm_id) for r in records.collect()) == [(0, 1, None), (1, 3, None)]
+    third = [(r.file_ordinal, r.rname_id) for r in sampling.concat_refs([(df, refs)] * 3)[0].collect()]
+    assert sorted(third) == [(0, 1), (1, 5), (2, 3)]
     assert [r.rname_id for r in all_.orderBy("rname_id").collect()] == [0, 1, 2, 3]
