@@ -6,7 +6,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .. import schema as S
 from ..shipping import ship_code
@@ -83,42 +82,33 @@ def keep_junk(deduplicated: DataFrame, df: DataFrame) -> DataFrame:
     return deduplicated.unionByName(junk(df), allowMissingColumns=True)
 
 
-def _best(order: list[str]) -> list[Column]:
-    return [F.col("_quality").desc(), F.col("mapq").desc(), *[F.col(c) for c in order]]
-
-
 def _quality(df: DataFrame) -> DataFrame:
-    q = F.aggregate(F.transform(F.split("qual", ""), lambda c: F.ascii(c) - 33), F.lit(0), lambda a, x: a + x) if "qual" in df.columns else F.lit(0)
+    q = F.aggregate(F.split("qual", ""), F.lit(0), lambda a, c: a + F.ascii(c) - 33) if "qual" in df.columns else F.lit(0)
     return df.withColumn("_quality", F.coalesce(q, F.lit(0)))
 
 
 def collapse_cheap(df: DataFrame, order: list[str]) -> DataFrame:
-    """One record per key, xp: how many there were. Takes the best by sum of qualities, then mapq, then the first by ``order``.
-
-    Every task keeps one record a key before the shuffle (a limit on row_number is planned so), and counts are partial
-    aggregates, so that a deep cluster is reduced where it lies. Both come out partitioned by key, for the join.
-    """
-    size = df.groupBy(F.col("key").alias("_k")).agg(F.count("*").alias("xp"))
-    best = _winners(df, order)
-    return best.join(size, F.col("key").eqNullSafe(F.col("_k"))).select("key", *[c for c in df.columns if c != "key"], "xp")
+    """One record per key, xp: how many there were. Takes the best by sum of qualities, then mapq, then the first by ``order``. An aggregate, so that partial results are formed before the shuffle."""
+    df = _quality(df)
+    rest = [c for c in df.columns if c not in ("key", "_quality")]
+    return df.groupBy("key").agg(F.min_by(F.struct(*rest), _best(order)).alias("r"), F.count("*").alias("xp")).select("key", "r.*", "xp")
 
 
-def _winners(df: DataFrame, order: list[str]) -> DataFrame:
-    w = Window.partitionBy("key").orderBy(*_best(order))
-    return _quality(df).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_quality")
+def _best(order: list[str]) -> Column:
+    return F.struct((-F.col("_quality")).alias("q"), (-F.col("mapq")).alias("m"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
 
 
 def mark(df: DataFrame, order: list[str]) -> DataFrame:
     """All records; those that a collapse would drop are flagged as duplicates. ``order`` must tell the records of a key apart.
 
-    The best of each key is found as in ``collapse_cheap`` and joined back, so that a deep cluster's records need not meet in one task.
+    The best of each key is found by an aggregate and joined back, so that a deep cluster's records need not meet in one task.
     """
-    best = _winners(df.select("key", "mapq", *[c for c in df.columns if c == "qual"], *order), order).select(F.col("key").alias("_k"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
+    best = _quality(df.select("key", "mapq", *[c for c in df.columns if c == "qual"], *order)).groupBy(F.col("key").alias("_k")).agg(F.min(_best(order)).alias("_b"))
     same = F.lit(True)
     for i, c in enumerate(order):
-        same = same & F.col(c).eqNullSafe(F.col(f"_o{i}"))
+        same = same & F.col(c).eqNullSafe(F.col(f"_b.o{i}"))
     df = df.join(best, F.col("key").eqNullSafe(F.col("_k")))
-    return df.withColumn("flag", F.when(same, F.col("flag")).otherwise(F.col("flag").bitwiseOR(S.DUPLICATE))).drop("_k", *[f"_o{i}" for i in range(len(order))])
+    return df.withColumn("flag", F.when(same, F.col("flag")).otherwise(F.col("flag").bitwiseOR(S.DUPLICATE))).drop("_k", "_b")
 
 
 def drop_shadowed(df: DataFrame) -> DataFrame:
