@@ -1,12 +1,22 @@
 """Questions from chunks of documents to a table that is too large for any one task, and the answers.
 
-Documents are put into chunks of bounded size by a hash of their id. Each chunk asks about each distinct key
+Documents are put into chunks of bounded size by a hash of their id and text. Each chunk asks about each distinct key
 once, in one packed message per bucket of the key space; a bucket sees the messages of all chunks and packs
 an answer for each. A key that is in most documents thus costs one entry per chunk, not one per row.
+
+Chunks and buckets both grow with the data, but the rows that are shuffled don't grow with their product: a Route
+numbers both in digits of at most MOST and sends in as many hops. In each hop a task holds what sources of one group have for
+destinations of one group; it gathers the bundles of the sources that differ in one digit and splits them by the destinations'
+next one. So every task handles about a chunk's worth, rows are MOST times the chunks per hop at most, and hops grow
+with the logarithm: one up to MOST chunks, two up to MOST squared. Messages without entries aren't sent, so there are no more than entries.
+
+Defined results: rows equal in id and text lie in one chunk, in the order in which they come; without documents there are no messages.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -15,6 +25,7 @@ from pyspark.sql import functions as F
 from .common import text_bytes
 
 CHUNK_BYTES = 4 << 20
+MOST = 256
 
 
 def parts(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> tuple[int, int]:
@@ -23,8 +34,68 @@ def parts(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> tuple[int, int]:
     return chunks, -(-chunks // 2)
 
 
-def chunk_of(key: Column, n: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+def chunk_of(n: int, *keys: Column) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int")
+
+
+BUNDLES = pa.schema([("p", pa.int32()), ("q", pa.int32()), ("bundle", pa.binary())])
+BUNDLES_SQL = "p int, q int, bundle binary"
+
+
+@dataclass(frozen=True)
+class Route:
+    """How tables with the columns src and dst get from the tasks of src to those of dst: hops of radix digits."""
+
+    src: str
+    dst: str
+    hops: int
+    radix: int
+
+    @classmethod
+    def of(cls, src: str, dst: str, n: int, most: int | None = None) -> Route:
+        most = most or MOST
+        hops = 1
+        while most**hops < n:
+            hops += 1
+        radix = 1
+        while radix**hops < n:
+            radix += 1
+        return cls(src, dst, hops, radix)
+
+    def back(self) -> Route:
+        return Route(self.dst, self.src, self.hops, self.radix)
+
+    def bundle(self, t: pa.Table, hop: int = 1) -> pa.Table:
+        """The table's rows for this hop: one for each group of destinations that has any."""
+        t = t.combine_chunks()
+        p = t[self.dst].to_numpy() // self.radix ** (self.hops - hop)
+        q = t[self.src].to_numpy() // self.radix**hop
+        order = np.lexsort((q, p))
+        p, q = p[order], q[order]
+        start = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (q[1:] != q[:-1])])) if len(p) else np.zeros(0, np.int64)
+        sorted_ = t.take(order)
+        out = []
+        for i, j in zip(start, np.append(start[1:], len(p))):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, t.schema) as w:
+                w.write_table(sorted_.slice(i, j - i))
+            out.append(sink.getvalue().to_pybytes())
+        return pa.Table.from_arrays([pa.array(p[start], pa.int32()), pa.array(q[start], pa.int32()), pa.array(out, pa.binary())], schema=BUNDLES)
+
+    def relay(self, bundles: DataFrame) -> DataFrame:
+        """Bundles of the first hop after the last one: p is the destination."""
+
+        def step(hop: int):
+            return lambda t: self.bundle(opened(t), hop)
+
+        for hop in range(2, self.hops + 1):
+            bundles = bundles.groupBy("p", "q").applyInArrow(step(hop), BUNDLES_SQL)
+        return bundles
+
+
+def opened(t: pa.Table) -> pa.Table:
+    """The rows in all bundles; t has some."""
+    return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in t["bundle"]])
 
 
 def bucket_of(h: np.ndarray, n: int) -> np.ndarray:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import buffer_of, materialize, mix, ship_code, slices, word_hashes
-from .exchange import bucket_of, chunk_of, pack, parts, split, table, unpack
+from .exchange import BUNDLES, BUNDLES_SQL, Route, bucket_of, chunk_of, opened, pack, parts, split, table, unpack
 
 START, END = np.uint64(0x51A7C0DE51A7C0DE), np.uint64(0xE0DE0DE0E0DE0DE1)
 _FIRST, _SECOND = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
@@ -62,9 +62,9 @@ def _keys(t: pa.Table):
 
 
 _ASK = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("uni", pa.binary()), ("bi", pa.binary())])
-_ASK_SQL = "bucket int, chunk int, uni binary, bi binary"
-_REPLY = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("uni", pa.binary()), ("bi", pa.binary()), ("n", pa.int64()), ("v", pa.int64())])
-_REPLY_SQL = _ASK_SQL + ", n long, v long"
+#: Bundles with a bucket's tokens and distinct words, in one of them.
+_ANSWER = pa.schema([*BUNDLES, ("n", pa.int64()), ("v", pa.int64())])
+_ANSWER_SQL = BUNDLES_SQL + ", n long, v long"
 
 
 def _ask(n: int):
@@ -73,11 +73,11 @@ def _ask(n: int):
         cu = np.bincount(of_word, weights=np.concatenate([train, ~held]), minlength=len(uni)).astype(np.uint64)
         cb = np.bincount(of_pair, weights=train, minlength=len(bi)).astype(np.uint64)
         u, b = split(bucket_of(uni, n), n), split(bucket_of(bi, n), n)
-        # Every bucket gets a message, so that its part of N and V comes back.
+        some = [k for k in range(n) if u[k + 1] > u[k] or b[k + 1] > b[k]]
         return table({
-            "bucket": list(range(n)), "chunk": [t["chunk"][0].as_py()] * n,
-            "uni": [pack(uni[u[k] : u[k + 1]], cu[u[k] : u[k + 1]], deltas=True) for k in range(n)],
-            "bi": [pack(bi[b[k] : b[k + 1]], cb[b[k] : b[k + 1]], deltas=True) for k in range(n)],
+            "bucket": some, "chunk": [t["chunk"][0].as_py()] * len(some),
+            "uni": [pack(uni[u[k] : u[k + 1]], cu[u[k] : u[k + 1]], deltas=True) for k in some],
+            "bi": [pack(bi[b[k] : b[k + 1]], cb[b[k] : b[k + 1]], deltas=True) for k in some],
         }, _ASK)
 
     return run
@@ -98,30 +98,32 @@ def _sum(messages) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     return np.split(out, np.cumsum([len(x[0]) for x in got])[:-1]), s[start], total
 
 
-def _answer(t: pa.Table) -> pa.Table:
-    uni, keys, total = _sum(t["uni"])
-    bi, _, _ = _sum(t["bi"])
-    real = (total > 0) & (keys != START)
-    k = t.num_rows
-    return table({
-        "bucket": t["bucket"].to_pylist(), "chunk": t["chunk"].to_pylist(), "uni": [pack(x) for x in uni], "bi": [pack(x) for x in bi],
-        "n": [int(total[real].sum())] * k, "v": [int(real.sum())] * k,
-    }, _REPLY)
+def _answer(back: Route):
+    def run(bundles: pa.Table) -> pa.Table:
+        t = opened(bundles)
+        uni, keys, total = _sum(t["uni"])
+        bi, _, _ = _sum(t["bi"])
+        real = (total > 0) & (keys != START)
+        out = back.bundle(table({"bucket": t["bucket"].to_pylist(), "chunk": t["chunk"].to_pylist(), "uni": [pack(x) for x in uni], "bi": [pack(x) for x in bi]}, _ASK))
+        first = np.arange(out.num_rows) == 0
+        return pa.Table.from_arrays([*out.columns, pa.array(first * int(total[real].sum()), pa.int64()), pa.array(first * int(real.sum()), pa.int64())], schema=_ANSWER)
+
+    return run
 
 
-def _counts(d: pa.Table, r: pa.Table):
+def _counts(d: pa.Table, bundles: pa.Table):
+    r = opened(bundles)
     at, held, train, uni, of_word, bi, of_pair = _keys(d)
     order = np.argsort(r["bucket"].to_numpy(), kind="stable")
     cu = np.concatenate([unpack(r["uni"][int(i)].as_py())[0] for i in order]).astype(np.int64)
     cb = np.concatenate([unpack(r["bi"][int(i)].as_py())[0] for i in order]).astype(np.int64)
-    n, v = int(r["n"].to_numpy().sum()), int(r["v"].to_numpy().sum())
     k = len(of_word) - len(held)
     word, pair = cu[of_word[:k]], cb[of_pair]
     before = np.empty_like(word)  # count of the context
     before[1:] = word[:-1]
     if len(held):
         before[at[:-1]] = cu[of_word[k]]
-    return at, held, train, word, pair, before, n, v
+    return at, held, train, word, pair, before
 
 
 def bucket(c: np.ndarray) -> np.ndarray:
@@ -132,16 +134,19 @@ def bucket(c: np.ndarray) -> np.ndarray:
 _GRID = pa.schema([("b", pa.int32()), ("q2", pa.int32()), ("q1", pa.int32()), ("n", pa.int64())])
 
 
-def _grid(d: pa.Table, r: pa.Table) -> pa.Table:
-    if not d.num_rows:
-        return _GRID.empty_table()
-    _, _, train, word, pair, before, n, v = _counts(d, r)
-    w, p, c = word[train] - 1, pair[train] - 1, before[train] - 1
-    level = lambda x: np.where(x > 0, np.round(STEPS * np.log2(np.maximum(x, 1e-300))).astype(np.int64), -9999)
-    q2 = level(p / np.maximum(c, 1) * (v + 1))
-    q1 = level(w / max(n - 1, 1) * (v + 1))
-    key, count = np.unique(((bucket(c) << 32) + ((q2 + 10000) << 16) + q1 + 10000), return_counts=True)
-    return table({"b": key >> 32, "q2": ((key >> 16) & 0xFFFF) - 10000, "q1": (key & 0xFFFF) - 10000, "n": count}, _GRID)
+def _grid(n: int, v: int):
+    def run(d: pa.Table, r: pa.Table) -> pa.Table:
+        if not d.num_rows:
+            return _GRID.empty_table()
+        _, _, train, word, pair, before = _counts(d, r)
+        w, p, c = word[train] - 1, pair[train] - 1, before[train] - 1
+        level = lambda x: np.where(x > 0, np.round(STEPS * np.log2(np.maximum(x, 1e-300))).astype(np.int64), -9999)
+        q2 = level(p / np.maximum(c, 1) * (v + 1))
+        q1 = level(w / max(n - 1, 1) * (v + 1))
+        key, count = np.unique(((bucket(c) << 32) + ((q2 + 10000) << 16) + q1 + 10000), return_counts=True)
+        return table({"b": key >> 32, "q2": ((key >> 16) & 0xFFFF) - 10000, "q1": (key & 0xFFFF) - 10000, "n": count}, _GRID)
+
+    return run
 
 
 def learn(b: np.ndarray, q2: np.ndarray, q1: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -164,11 +169,11 @@ def learn(b: np.ndarray, q2: np.ndarray, q1: np.ndarray, n: np.ndarray) -> np.nd
 _SCORE = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def _score(weights: np.ndarray):
+def _score(weights: np.ndarray, n: int, v: int):
     def run(d: pa.Table, r: pa.Table) -> pa.Table:
         if not d.num_rows:
             return _SCORE.empty_table()
-        at, held, _, word, pair, before, n, v = _counts(d, r)
+        at, held, _, word, pair, before = _counts(d, r)
         base = np.log10((word + 0.1) / (n + 0.1 * (v + 1)))
         a = weights[bucket(before)]
         p = a[:, 0] * pair / np.maximum(before, 1) + a[:, 1] * word / max(n, 1) + a[:, 2] / (v + 1)
@@ -184,14 +189,23 @@ def _score(weights: np.ndarray):
 def score(docs: DataFrame, folds: int = 10) -> DataFrame:
     """doc_id, text_hash, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     ship_code(docs.sparkSession)
-    chunks, n = parts(docs)
+    chunks, buckets = parts(docs)
+    route = Route.of("chunk", "bucket", max(chunks, buckets))
+    back, ask = route.back(), _ask(buckets)
+    key, text_hash = F.col("doc_id").cast("long"), F.xxhash64("text")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == 0, F.lit(False))
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"), held.alias("held")).withColumn("chunk", chunk_of(F.col("doc_id"), chunks))
-    replies = materialize(src.groupBy("chunk").applyInArrow(_ask(n), _ASK_SQL).groupBy("bucket").applyInArrow(_answer, _REPLY_SQL))
-    both = src.groupBy("chunk").cogroup(replies.groupBy("chunk"))
-    grid = materialize(both.applyInArrow(_grid, "b int, q2 int, q1 int, n long").groupBy("b", "q2", "q1").agg(F.sum("n").alias("n"))).toPandas()
+    src = docs.select(key.alias("doc_id"), text_hash.alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"), held.alias("held"), chunk_of(chunks, key, text_hash).alias("chunk"))
+    asked = route.relay(src.groupBy("chunk").applyInArrow(lambda t: route.bundle(ask(t)), BUNDLES_SQL))
+    answers = materialize(asked.groupBy("p").applyInArrow(_answer(back), _ANSWER_SQL))
+    size = answers.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
+    n, v = size["n"] or 0, size["v"] or 0
+    replies = answers.select("p", "q", "bundle")
+    if back.hops > 1:
+        replies = materialize(back.relay(replies))
+    both = src.groupBy("chunk").cogroup(replies.groupBy("p"))
+    grid = materialize(both.applyInArrow(_grid(n, v), "b int, q2 int, q1 int, n long").groupBy("b", "q2", "q1").agg(F.sum("n").alias("n"))).toPandas()
     weights = learn(grid["b"].to_numpy(np.int64), grid["q2"].to_numpy(np.int64), grid["q1"].to_numpy(np.int64), grid["n"].to_numpy(np.float64))
-    return both.applyInArrow(_score(weights), "doc_id long, text_hash long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return both.applyInArrow(_score(weights, n, v), "doc_id long, text_hash long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def report(docs: DataFrame) -> DataFrame:

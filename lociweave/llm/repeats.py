@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BASE, INVERSE, buffer_of, materialize, mix, powers, prefix_sums, range_hash, ship_code, slices
-from .exchange import bucket_of, chunk_of, pack, parts, split, table, unpack
+from .exchange import BUNDLES, BUNDLES_SQL, Route, bucket_of, chunk_of, opened, pack, parts, split, table, unpack
 
 GRAM = 16
 SUB = 8  # a bucket of contexts is worked off in as many parts, to bound memory
@@ -262,10 +262,10 @@ _RESULT = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_byte
 
 
 def _mark(length: int, with_text: bool):
-    def run(docs: pa.Table, shared: pa.Table, replies: pa.Table | None) -> pa.Table:
+    def run(docs: pa.Table, shared: pa.Table | None, replies: pa.Table | None) -> pa.Table:
         c = _Chunk(docs["text"], length)
         cover = np.zeros(len(c.data) + 1, np.int32)
-        if shared.num_rows:
+        if shared is not None:
             use, number, example = c.contexts(np.concatenate([x[0] for x in _messages(shared, True)]))
             best = np.concatenate([x[0] for x in _messages(replies, False)])
             ids = _ids(docs["doc_id"])
@@ -302,21 +302,29 @@ def find(docs: DataFrame, length: int = 50, with_text: bool = False) -> DataFram
     spark = docs.sparkSession
     ship_code(spark)
     chunks, n = parts(docs)
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).alias("text")).withColumn("chunk", chunk_of(F.col("doc_id"), chunks))
-    ask = src.groupBy("chunk").applyInArrow(_ask(length, n), _MESSAGE_SQL)
-    shared = materialize(ask.groupBy("bucket").applyInArrow(_shared, _MESSAGE_SQL))
-    sent = src.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_send(length, n), _PARTS_SQL)
-    replies = materialize(sent.groupBy("bucket").applyInArrow(_least(length), _PARTS_SQL))
-    both = shared.withColumn("message", F.array("message")).withColumn("kind", F.lit(0)).unionByName(replies.withColumn("kind", F.lit(1)))
-    mark = _mark(length, with_text)
+    route = Route.of("chunk", "bucket", max(chunks, n))
+    back = route.back()
+    key, text_hash = F.col("doc_id").cast("long"), F.xxhash64("text")
+    src = docs.select(key.alias("doc_id"), text_hash.alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"), chunk_of(chunks, key, text_hash).alias("chunk"))
+    ask, share, send, least, mark = _ask(length, n), _shared, _send(length, n), _least(length), _mark(length, with_text)
+    asked = route.relay(src.groupBy("chunk").applyInArrow(lambda t: route.bundle(ask(t)), BUNDLES_SQL))
+    shared = materialize(back.relay(asked.groupBy("p").applyInArrow(lambda t: back.bundle(share(opened(t))), BUNDLES_SQL)))
+
+    def sends(d: pa.Table, r: pa.Table) -> pa.Table:
+        return route.bundle(send(d, opened(r))) if d.num_rows and r.num_rows else BUNDLES.empty_table()
+
+    sent = route.relay(src.groupBy("chunk").cogroup(shared.groupBy("p")).applyInArrow(sends, BUNDLES_SQL))
+    replies = materialize(back.relay(sent.groupBy("p").applyInArrow(lambda t: back.bundle(least(opened(t))), BUNDLES_SQL)))
+    both = shared.withColumn("kind", F.lit(0)).unionByName(replies.withColumn("kind", F.lit(1)))
 
     def finish(d: pa.Table, r: pa.Table) -> pa.Table:
         if not d.num_rows:
             return _RESULT.empty_table()
         kind = r["kind"].to_numpy()
-        return mark(d, r.take(np.flatnonzero(kind == 0)), r.take(np.flatnonzero(kind == 1)))
+        got = [r.take(np.flatnonzero(kind == k)) for k in (0, 1)]
+        return mark(d, *(opened(x) if x.num_rows else None for x in got))
 
-    return src.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(finish, "doc_id long, text_hash long, n_bytes long, spans array<long>, kept_sha256 string, kept binary")
+    return src.groupBy("chunk").cogroup(both.groupBy("p")).applyInArrow(finish, "doc_id long, text_hash long, n_bytes long, spans array<long>, kept_sha256 string, kept binary")
 
 
 def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:

@@ -5,13 +5,16 @@ import collections
 import hashlib
 import ipaddress
 import itertools
+import math
 import os
 import random
 import re
 import time
+import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -244,9 +247,10 @@ def test_overlap_bound():
 # ---- 7 -----------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("chunk", [1 << 30, 20_000])
-def test_repeats(table, chunk, monkeypatch):
+@pytest.mark.parametrize(("chunk", "most"), [(1 << 30, 256), (20_000, 256), (20_000, 3)])
+def test_repeats(table, chunk, most, monkeypatch):
     monkeypatch.setattr(exchange.parts, "__defaults__", (chunk,))
+    monkeypatch.setattr(exchange, "MOST", most)
     r = corpus(4, 60) + [(6000, "ab" * 80, "en", "a"), (6001, "xx" + "ab" * 40 + "yy", "en", "a"), (6002, "z" * 49, "en", "a"), (6003, "z" * 49, "en", "a"), (6004, "z" * 50, "en", "a"), (6005, "z" * 51, "en", "a")]
     want = brute_repeats([x[:2] for x in r])
     got = repeats.report(table(r)).collect()
@@ -256,6 +260,45 @@ def test_repeats(table, chunk, monkeypatch):
     assert texts[6005] == "" and texts[6003] == "z" * 49 and texts[1000] is None
 
 
+@pytest.mark.parametrize(("n", "most", "hops"), [(1, 4, 1), (4, 4, 1), (16, 4, 2), (64, 4, 3), (100, 4, 4)])
+def test_routes_deliver(n, most, hops):
+    """Every row reaches its destination once, whatever the hops, and rows on the way grow with the sources, not with their square."""
+    route = exchange.Route.of("chunk", "bucket", n, most)
+    assert route.hops == hops and route.radix <= most
+    sent = [(c, b, f"{c}-{b}".encode()) for c in range(n) for b in range(n) if (c * 7 + b) % 3]
+    tables = {c: pa.table({"chunk": pa.array([c] * len(m), pa.int32()), "bucket": pa.array([x[1] for x in m], pa.int32()), "message": [x[2] for x in m]}) for c in range(n) if (m := [x for x in sent if x[0] == c])}
+    rows = pa.concat_tables([route.bundle(t) for t in tables.values()]) if tables else None
+    for hop in range(2, hops + 1):
+        assert rows.num_rows <= most * most**hops
+        keys = sorted(set(zip(rows["p"].to_pylist(), rows["q"].to_pylist())))
+        pick = lambda k: rows.filter(pc.and_(pc.equal(rows["p"], k[0]), pc.equal(rows["q"], k[1])))
+        rows = pa.concat_tables([route.bundle(exchange.opened(pick(k)), hop) for k in keys])
+    got = []
+    for p in range(n):
+        mine = rows.filter(pc.equal(rows["p"], p)) if rows is not None else rows
+        if mine is not None and mine.num_rows:
+            t = exchange.opened(mine)
+            assert set(t["bucket"].to_pylist()) == {p}
+            got += zip(t["chunk"].to_pylist(), t["bucket"].to_pylist(), t["message"].to_pylist())
+    assert sorted(got) == sorted(sent)
+
+
+def test_rows_grow_with_the_chunks():
+    """Four times the chunks: about four times the rows in each hop, not sixteen times."""
+    def rows(n):
+        route = exchange.Route.of("chunk", "bucket", n, 16)
+        assert route.radix <= 16 and 16 ** (route.hops - 1) < n
+        return n * route.radix * route.hops
+
+    assert all(rows(4 * n) <= 4 * 2 * rows(n) for n in (256, 1024, 4096, 16_384)) and rows(65_536) == 2 * 256 * rows(256)
+
+
+def test_ids_that_many_rows_share_are_spread(spark):
+    df = spark.range(1000).select(F.lit(None).cast("long").alias("d"), F.xxhash64("id").alias("h"))
+    sizes = [x["count"] for x in df.groupBy(exchange.chunk_of(8, F.col("d"), F.col("h"))).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 200
+
+
 def test_anchors_agree_with_a_search(monkeypatch):
     rng = np.random.default_rng(1)
     for alphabet in (1, 2, 4, 200):
@@ -355,12 +398,55 @@ def test_language_model(docs, rows, monkeypatch):
     whole = copies(lm.report(docs))
     monkeypatch.setattr(exchange.parts, "__defaults__", (30_000,))
     assert copies(lm.report(docs.repartition(5))) == whole
+    monkeypatch.setattr(exchange, "MOST", 3)
+    assert copies(lm.report(docs)) == whole
     assert len(whole) == len(rows)
     by = {r[0]: r for r in whole}
     assert by[1000][2] == by[1001][2] == by[1002][2] == 1
     assert by[1003][2:4] == by[1004][2:4]
 
 
+def test_scores_by_brute_force(table):
+    """Counts in dictionaries, the tokens one by one, and expectation-maximisation over them."""
+    r = [x for x in corpus(9, 60) if x[0] is not None]
+    got = sorted((x.doc_id, x.n_tokens, x.score) for x in lm.report(table(r)).collect())
+    text = {(k, d): [*spaced((t or "").translate(ASCII)), None] for k, (d, t, *_) in enumerate(r)}
+    held = {k: zlib.crc32(str(k[1]).encode()) % 10 == 0 for k in text}
+    uni, bi, seen = collections.Counter(), collections.Counter(), collections.Counter()
+    for k, t in text.items():
+        if not held[k]:
+            for a, b in zip(["<s>", *t[:-1]], t):
+                uni[b] += 1
+                bi[a, b] += 1
+                seen[a] += 1
+    n, v = sum(uni.values()), len(uni)
+    bucket = lambda c: min(1 + int(math.log2(c)), lm.BUCKETS - 1) if c > 0 else 0
+    grid = collections.Counter()
+    round_ = lambda x: 2.0 ** (float(np.round(lm.STEPS * np.log2(x))) / lm.STEPS) if x > 0 else 0.0
+    for k, t in text.items():
+        if not held[k]:
+            for a, b in zip(["<s>", *t[:-1]], t):
+                c = seen[a] - 1
+                grid[bucket(c), round_((bi[a, b] - 1) / max(c, 1) * (v + 1)), round_((uni[b] - 1) / max(n - 1, 1) * (v + 1))] += 1
+    weights = {b: [0, 0.5, 0.5] if b == 0 else [1 / 3] * 3 for b in range(lm.BUCKETS)}
+    for _ in range(lm.ROUNDS):
+        new = {b: [0.0 if b == 0 else 1.0, 1.0, 1.0] for b in weights}
+        for (b, x, y), count in grid.items():
+            parts = [w * f for w, f in zip(weights[b], (x, y, 1.0))]
+            for i in range(3):
+                new[b][i] += count * parts[i] / sum(parts)
+        weights = {b: [x / sum(w) for x in w] for b, w in new.items()}
+    want = []
+    for k, t in text.items():
+        total = 0.0
+        for a, b in zip(["<s>", *t[:-1]], t):
+            w = weights[bucket(seen[a])]
+            total += math.log10(w[0] * bi[a, b] / max(seen[a], 1) + w[1] * uni[b] / n + w[2] / (v + 1))
+        want.append((k[1], len(t), total))
+    assert [x[:2] for x in got] == [x[:2] for x in sorted(want)]
+    assert [x[2] for x in got] == pytest.approx([x[2] for x in sorted(want)], rel=1e-9)
+
+
 def test_expectation_maximisation_finds_weights():
     rng = np.random.default_rng(3)
     n = 20_000
@@ -683,8 +769,6 @@ def test_materialized_tables(spark):
 
 
 def test_words_agree_with_the_pattern(rows):
-    import pyarrow as pa
-
     texts = [r[1] for r in rows]
     data, offsets = common.buffer_of(pa.array(texts))
     h, first = common.word_hashes(data, offsets)
