@@ -20,6 +20,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from lociweave.llm import common, decontaminate, exchange, graph, html_text, licenses, lm, mixing, neardup, packing, quality, repeats, surrogates
 from lociweave.llm.license_texts import KNOWN
 
@@ -357,17 +358,29 @@ def water(sizes, weights, share=1.5, most=2):
     return target
 
 
-def test_targets(spark):
-    import random
-
+@pytest.mark.parametrize("limit", [mixing.BROADCAST_ROWS, 0])
+def test_targets(spark, limit, monkeypatch):
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", limit)
     r = random.Random(8)
     for n in (1, 2, 7, 40):
         sizes = {f"s{k:02}": r.choice([0, 1, 10, 500, 10_000, 90_000]) + r.randrange(9) for k in range(n)}
         weights = {s: [3, 1, 2][k % 3] for k, s in enumerate(sorted(sizes))}
-        got = {x.source: x.target for x in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, size bigint")).collect()}
+        got = {x.source: x.target for x in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, size bigint"))[0].collect()}
         assert got == pytest.approx(water(sizes, weights))
 
 
+def test_mixing_of_many_sources(docs, monkeypatch):
+    """Sums by ranges and rows dealt out give what one task gives."""
+    few = [copies(mixing.allot(docs)), copies(mixing.mix(docs))]
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
+    assert [copies(mixing.allot(docs)), copies(mixing.mix(docs))] == few
+
+
+def test_rows_without_ids_are_told_apart(table):
+    got = mixing.allot(table([(None, f"text number {k} has six words", "en", "a") for k in range(40)] + [(None, "b " * 30, "en", "b")])).collect()
+    assert {r.taken for r in got if r.size == 6} - {6, 12} <= {k for k in range(6, 12)} and len({r.taken for r in got if r.size == 6}) > 1
+
+
 def test_mixing_without_words(table):
     got = mixing.allot(table([(1, None, "en", "a"), (2, "", "en", None)])).collect()
     assert [(r.size, r.source_size, r.target, r.taken) for r in got] == [(0, 0, 0.0, 0)] * 2
@@ -756,6 +769,26 @@ def test_known_texts_of_the_user(spark, table, monkeypatch, limit):
     assert {(x.doc_id, *x.ids) for x in licenses.scan_keys(table(r), known).collect()} == {(1, "House-1", ""), (2, "House-2"), (3, "")}
 
 
+# ---- Stages ------------------------------------------------------------------------------------------
+
+
+def test_stages_take_any_rows(spark, docs, empty, tmp_path):
+    """Nulls, empty, blank, repeated and very long texts, clashing columns, ties and empty tables, through all stages."""
+    spark.createDataFrame([("i1", "one two three four five six seven eight nine ten"), ("i2", None)], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for start, rows in ((docs, docs.count()), (empty, 0)):
+        out = start
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            before, out = out, stage(spark, out, str(tmp_path))
+            assert out.schema == docs.schema, name
+            out = common.materialize(out)
+            if name != "source mix":  # repeats rows
+                assert not out.exceptAll(before).count(), name
+        packed = corpus_pipeline.STAGES[-1][1](spark, out, str(tmp_path)).collect()
+        assert {d for r in packed for d in r.doc_ids} == {r.doc_id for r in out.where("text is not null").collect() if spaced(r.text)} or not rows
+    twice = near_rows = spark.createDataFrame([(5, "same words here and there again", "en", "a", 1)] * 3, "doc_id long, text string, lang string, source string, h int")
+    assert neardup.dedup(twice).count() == 1 and near_rows.columns == neardup.dedup(twice).columns
+
+
 # ---- Common ------------------------------------------------------------------------------------------
 
 
