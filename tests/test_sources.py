@@ -104,3 +104,8 @@ def test_patterns_and_streams(spark, record, tmp_path):
     assert out == {"first": ["@a/1\nA\n+\nI"], "second": [], "unpaired": ["@b\nC\n+\nI"]}
     sinks.split_by_library(df.withColumn("library", F.col("qname")), str(tmp_path / "l"))
     assert spark.read.parquet(str(tmp_path / "l" / "a")).count() == 1
+
+
+def test_histogram_lines(spark):
+    h = spark.createDataFrame([(2, 5), (0, 0), (1, 7)], "n int, clusters bigint")
+    assert [r.value for r in sinks.histogram_lines(h).collect()] == ["0\t0", "1\t7", "2\t5"]

@@ -43,3 +43,9 @@ def test_duplicates(stream):
 def test_joined_mates(stream):
     got = [(r.a_qname, r.a_pos, r.b_pos) for r in run(records.join_mates(stream, "ts", "10 seconds"), "joined")]
     assert got == [("a", 5, 9)]
+
+
+def test_counts_by_library(stream):
+    """Windows are given out when the watermark has passed them."""
+    got = {(r.window.start, r.library): r.n for r in run(records.count_by_library(stream, "ts", "10 seconds", "1 minute"), "counted")}
+    assert got == {(at(0), "l"): 4, (at(960), "l"): 1}
