@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions.alignment import deaminated
 
-_MUNCH = set("!:#$%&*+./<=>?@\\^|-~")
 _TOKEN = re.compile(r'\s*(?:(?P<num>\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)|(?P<word>[A-Za-z_][A-Za-z0-9_-]*)|(?P<str>"(?:[^"\\]|\\.)*")|(?P<paren>[()])|(?P<op>[!:#$%&*+./<=>?@\\^|~-]+))')
 
 FLAGS = {
