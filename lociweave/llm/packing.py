@@ -5,7 +5,8 @@ shuffled, memory doesn't grow with the data, and a lost task is simply run again
 is split into full rows and a rest, whose token ids joined give the document's again.
 
 Defined results: a null or empty text has no tokens and no segment; every other document ends with the
-end token; repeated rows are packed each; special tokens' strings in a text are ordinary text; other columns
+end token; repeated rows are packed each; which documents share a row depends on how the input is split, so that
+reruns give the same rows only for equal splits, but the same documents, segments and tokens for any; an empty table gives no rows; special tokens' strings in a text are ordinary text; other columns
 play no part. Unused places at a row's end hold the end token.
 """
 
