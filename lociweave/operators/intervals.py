@@ -1,8 +1,9 @@
 """Annotation of regions by interval joins: names with any overlap, names that cover, those that don't, or the nearest.
 
-Regions and annotations are half-open. Both are cut into bins of a fixed width, joined on (chrom, strand, bin) and
-compared; a pair that shares several bins is taken in the first of them only, so nothing has to be made
-distinct. Where "nearest" asks for the annotation before or behind a place, the gaps between breakpoints tile
+Regions and annotations are half-open. Bins have levels of eightfold width. An interval's level is the first whose bins are as
+wide as it, so that it touches two at most there and on all wider levels; a pair meets on the wider of its levels, on (chrom, strand,
+level, bin), whether it is a base in a chromosome or the other way round, and no interval is cut in many pieces. A pair that shares both
+bins is taken in the first of them only, so nothing has to be made distinct. Where "nearest" asks for the annotation before or behind a place, the gaps between breakpoints tile
 the line, and the question is a lookup of a point in an interval: no sort of all regions, no partition per chromosome.
 """
 
@@ -45,33 +46,51 @@ def islands(idx: DataFrame) -> DataFrame:
     return marked.groupBy("chrom", "strand", "name", "sym", "_g").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("_g")
 
 
-def bin_width(idx: DataFrame) -> int:
-    """A power of two not below nine tenths of the annotations' lengths."""
-    n = idx.agg(F.percentile_approx(F.col("e") - F.col("s"), 0.9)).first()[0] or 1
-    return max(16, 1 << int(n - 1).bit_length())
+#: Bins of level k are 2 ** (4 + 3 * k) wide: from 16 to more than any position.
+LEVELS = range(10)
 
 
-def _bins(start: Column, end: Column, width: int) -> Column:
-    at = lambda x: F.floor(x / F.lit(width)).cast("int")
-    return F.explode(F.sequence(at(start), at(end - 1)))
+def _level(start: Column, end: Column) -> Column:
+    n, out = end - start, F.lit(LEVELS[-1])
+    for k in reversed(LEVELS[:-1]):
+        out = F.when(n <= 1 << (4 + 3 * k), k).otherwise(out)
+    return out
 
 
-def overlap_join(regions: DataFrame, idx: DataFrame, width: int, start: str, end: str) -> DataFrame:
-    """Rows of regions (with strand + or -) and of idx that overlap; an empty region overlaps nothing."""
-    left = regions.where(F.col(start) < F.col(end)).withColumn("_bin", _bins(F.col(start), F.col(end), width))
-    right = idx.select(*[F.col(c).alias(f"x_{c}") for c in idx.columns], _bins(F.col("s"), F.col("e"), width).alias("x_bin"))
-    first = F.floor(F.greatest(F.col(start), F.col("x_s")) / F.lit(width)).cast("int")
-    on = (F.col("chrom") == F.col("x_chrom")) & (F.col("strand") == F.col("x_strand")) & (F.col("_bin") == F.col("x_bin"))
-    hit = (F.col("x_s") < F.col(end)) & (F.col("x_e") > F.col(start)) & (F.col("_bin") == first)
-    return left.join(right, on & hit).drop("_bin", "x_bin", "x_chrom", "x_strand")
+def _levels(df: DataFrame, start: str, end: str) -> list[int]:
+    """The levels that there are, ten at most."""
+    return sorted(df.where(F.col(start) < F.col(end)).agg(F.collect_set(_level(F.col(start), F.col(end))).alias("x")).first()["x"])
 
 
-def _point_join(points: DataFrame, at: str, gaps: DataFrame, width: int) -> DataFrame:
-    """Rows of points and the one row of gaps (chrom, strand, lo, hi, ...) with lo <= at < hi."""
-    left = points.withColumn("_bin", F.floor(F.col(at) / F.lit(width)).cast("int"))
-    right = gaps.select(*[F.col(c).alias(f"g_{c}") for c in gaps.columns], _bins(F.col("lo"), F.col("hi"), width).alias("g_bin"))
-    on = (F.col("chrom") == F.col("g_chrom")) & (F.col("strand") == F.col("g_strand")) & (F.col("_bin") == F.col("g_bin"))
-    return left.join(right, on & (F.col(at) >= F.col("g_lo")) & (F.col(at) < F.col("g_hi"))).drop("_bin", "g_bin", "g_chrom", "g_strand")
+def _bins(start: Column, end: Column, levels) -> Column:
+    """Rows (k, bin) of the bins that an interval touches on its own level, and on wider ones if they are among ``levels``."""
+    own = _level(start, end)
+    at = lambda k: F.transform(F.sequence(F.shiftright(start, 4 + 3 * k), F.shiftright(end - 1, 4 + 3 * k)), lambda b: F.struct(F.lit(k).alias("k"), b.alias("bin")))
+    none = F.array().cast("array<struct<k:int,bin:int>>")
+    return F.explode(F.flatten(F.array(*[F.when(own == k if k not in levels else own <= k, at(k)).otherwise(none) for k in LEVELS])))
+
+
+def overlap_join(regions: DataFrame, idx: DataFrame, levels: list[int], start: str, end: str) -> DataFrame:
+    """Rows of regions (with strand + or -) and of idx that overlap; an empty region overlaps nothing. levels: those of idx."""
+    left = regions.where(F.col(start) < F.col(end)).withColumn("_l", _level(F.col(start), F.col(end))).withColumn("_b", _bins(F.col(start), F.col(end), levels))
+    right = idx.select(*[F.col(c).alias(f"x_{c}") for c in idx.columns], _level(F.col("s"), F.col("e")).alias("x_l"), _bins(F.col("s"), F.col("e"), LEVELS).alias("x_b"))
+    left = left.withColumns({"_k": F.col("_b.k"), "_bin": F.col("_b.bin")}).drop("_b")
+    right = right.withColumns({"x_k": F.col("x_b.k"), "x_bin": F.col("x_b.bin")}).drop("x_b")
+    first = F.greatest(F.col(start), F.col("x_s"))
+    on = (F.col("chrom") == F.col("x_chrom")) & (F.col("strand") == F.col("x_strand")) & (F.col("_k") == F.col("x_k")) & (F.col("_bin") == F.col("x_bin"))
+    met = F.col("_k") == F.greatest("_l", "x_l")
+    hit = (F.col("x_s") < F.col(end)) & (F.col("x_e") > F.col(start)) & (F.call_function("shiftright", first, 4 + 3 * F.col("_k")) == F.col("_bin"))
+    return left.join(right, on & met & hit).drop("_l", "_k", "_bin", "x_l", "x_k", "x_bin", "x_chrom", "x_strand")
+
+
+def _point_join(points: DataFrame, at: str, gaps: DataFrame) -> DataFrame:
+    """Rows of points and the one row of gaps (chrom, strand, lo, hi, ...) with lo <= at < hi. A gap is sought on its own level only."""
+    levels = _levels(gaps, "lo", "hi")
+    place = F.array(*[F.struct(F.lit(k).alias("k"), F.shiftright(F.col(at), 4 + 3 * k).alias("bin")) for k in levels]) if levels else F.array().cast("array<struct<k:int,bin:int>>")
+    left = points.withColumn("_b", F.explode(place)).withColumns({"_k": F.col("_b.k"), "_bin": F.col("_b.bin")}).drop("_b")
+    right = gaps.select(*[F.col(c).alias(f"g_{c}") for c in gaps.columns], _bins(F.col("lo"), F.col("hi"), ()).alias("g_b")).withColumns({"g_k": F.col("g_b.k"), "g_bin": F.col("g_b.bin")}).drop("g_b")
+    on = (F.col("chrom") == F.col("g_chrom")) & (F.col("strand") == F.col("g_strand")) & (F.col("_k") == F.col("g_k")) & (F.col("_bin") == F.col("g_bin"))
+    return left.join(right, on & (F.col(at) >= F.col("g_lo")) & (F.col(at) < F.col("g_hi"))).drop("_k", "_bin", "g_k", "g_bin", "g_chrom", "g_strand")
 
 
 def _once(df: DataFrame) -> DataFrame:
@@ -106,7 +125,7 @@ def _outer(points: DataFrame, side: DataFrame) -> DataFrame:
 
 
 def annotate(regions: DataFrame, annotations: DataFrame, mode: str = "inclusive", order: list[str] | None = None, start: str = "r_start", end: str = "r_end", no_strand: bool = False,
-             legacy_tail: bool = False, legacy_signed: bool = False, true_distance: bool = False, width: int | None = None) -> DataFrame:
+             legacy_tail: bool = False, legacy_signed: bool = False, true_distance: bool = False) -> DataFrame:
     """regions with hits (names by first appearance in ``order``), and for "nearest" without hits near and distance.
 
     covered: names whose joined intervals hold the whole region; legacy_tail leaves what lies beyond the last breakpoint of
@@ -119,7 +138,7 @@ def annotate(regions: DataFrame, annotations: DataFrame, mode: str = "inclusive"
         raise ValueError(mode)
     idx = index(annotations, order or ["line_no"])
     idx = _once(idx) if mode == "nearest" else idx
-    width = width or bin_width(idx)
+    levels = _levels(idx, "s", "e")
     keys = regions.columns
     copies = regions.groupBy(*keys).agg(F.count("*").alias("_copies"))
     q = copies.withColumn("_strand", F.lit("*") if no_strand else F.col("strand"))
@@ -129,7 +148,7 @@ def annotate(regions: DataFrame, annotations: DataFrame, mode: str = "inclusive"
     pair = F.struct(F.col("x_sym").alias("sym"), F.col("x_name").alias("name"))
     by = [*key, "_copies"]
     if mode in ("inclusive", "nearest"):
-        got = overlap_join(each, idx, width, "b", "t").groupBy(*by).agg(F.collect_set(pair).alias("h"))
+        got = overlap_join(each, idx, levels, "b", "t").groupBy(*by).agg(F.collect_set(pair).alias("h"))
     else:
         isl = islands(idx)
         last = F.broadcast(idx.groupBy(F.col("chrom").alias("l_chrom"), F.col("strand").alias("l_strand")).agg(F.max("e").alias("last")))
@@ -137,7 +156,7 @@ def annotate(regions: DataFrame, annotations: DataFrame, mode: str = "inclusive"
         if legacy_tail:
             each = each.join(last, (F.col("chrom") == F.col("l_chrom")) & (F.col("strand") == F.col("l_strand")), "left").drop("l_chrom", "l_strand")
             reach = F.least("t", "last")
-        over = overlap_join(each, isl, width, "b", "t")
+        over = overlap_join(each, isl, _levels(isl, "s", "e"), "b", "t")
         full = (F.col("x_s") <= F.col("b")) & (F.col("x_e") >= reach)
         got = over.where(full if mode == "covered" else ~full)
         # An island that covers a region is the only one of its name that touches it, so "not covering" may be asked of each.
@@ -152,8 +171,8 @@ def annotate(regions: DataFrame, annotations: DataFrame, mode: str = "inclusive"
         to = (F.col("g_p") - F.col("t")) if true_distance else (F.col("g_next") - F.col("t") + 1)
         behind = F.struct(to.alias("d"), F.col("g_who.sym").alias("sym"), F.col("g_who.name").alias("name"))
         c = [
-            _point_join(missed, "b", left, width).select(*key, before.alias("c")), _outer(missed, last).where("b >= g_p").select(*key, before.alias("c")),
-            _point_join(missed, "t", right, width).select(*key, behind.alias("c")), _outer(missed, first).where("t <= g_p").select(*key, behind.alias("c")),
+            _point_join(missed, "b", left).select(*key, before.alias("c")), _outer(missed, last).where("b >= g_p").select(*key, before.alias("c")),
+            _point_join(missed, "t", right).select(*key, behind.alias("c")), _outer(missed, first).where("t <= g_p").select(*key, behind.alias("c")),
         ]
         all_ = c[0].unionByName(c[1]).unionByName(c[2]).unionByName(c[3])
         rank = F.struct((F.col("c.d") if legacy_signed else F.abs("c.d")).alias("a"), F.col("c.d").alias("d"), F.col("c.sym").alias("sym"), F.col("c.name").alias("name"))

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lociweave.operators import intervals
 
@@ -47,7 +48,7 @@ def test_against_brute_force(spark, mode):
     for k in range(150):
         s = r.randrange(200)
         regions.append((f"q{k}", r.choice("xyz"), r.choice("+-*"), s, s + r.choice([0, 1, 4, 20, 60])))
-    got = intervals.annotate(spark.createDataFrame(regions, REGION), spark.createDataFrame(annotations, ANNOTATION), mode, width=16)
+    got = intervals.annotate(spark.createDataFrame(regions, REGION), spark.createDataFrame(annotations, ANNOTATION), mode)
     assert {x["name"]: (x.hits, x.near, x.distance) for x in got.collect()} == brute(regions, annotations, mode)
 
 
@@ -98,3 +99,23 @@ def test_cache(spark):
     assert cache.get("a", load).count() == cache.get("a", load).count() == 3
     assert calls == [1]
     cache.drop("a")
+
+
+def test_intervals_of_all_lengths(spark):
+    """From single bases to whole chromosomes: as brute force has it, and none in more than two bins a level."""
+    r = random.Random(6)
+    length = lambda: min(2_000_000_000, int(2 ** r.uniform(0, 31)))
+    rows = []
+    for k in range(120):
+        n = length()
+        a = r.randrange(0, 2_000_000_001 - n)
+        rows.append((f"n{k}", "c", r.choice("+-*"), a, a + n, k))
+    rows += [("all", "c", "*", 0, 2_000_000_000, 200), ("base", "c", "*", 999_999_999, 1_000_000_000, 201)]
+    annotations, regions = spark.createDataFrame(rows[::2], ANNOTATION), spark.createDataFrame([x[:5] for x in rows[1::2]], REGION)
+    idx = intervals.index(annotations, ["line_no"])
+    counts = idx.select("s", intervals._bins(F.col("s"), F.col("e"), intervals.LEVELS).alias("b")).groupBy("s", "b.k").count()
+    assert idx.select(intervals._bins(F.col("s"), F.col("e"), intervals.LEVELS)).count() <= 20 * idx.count() and counts.count()
+    strands = lambda x: "+-" if x == "*" else x
+    want = {x[0]: [y[0] for y in rows[::2] if y[3] < x[4] and y[4] > x[3] and set(strands(x[2])) & set(strands(y[2]))] for x in rows[1::2]}
+    got = {x.name: list(x.hits) for x in intervals.annotate(regions, annotations).collect()}
+    assert got == want
