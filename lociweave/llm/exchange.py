@@ -89,10 +89,15 @@ class Route:
             return lambda t: self.bundle(opened(t), hop)
 
         for hop in range(2, self.hops + 1):
-            bundles = bundles.groupBy("p", "q").applyInArrow(step(hop), BUNDLES_SQL)
+            bundles = spread(bundles, self.radix**self.hops, "p", "q").groupBy("p", "q").applyInArrow(step(hop), BUNDLES_SQL)
         return bundles
 
 
+def spread(df: DataFrame, groups: int, *keys: str) -> DataFrame:
+    """df with the rows of each group together, about two groups in a task: tasks don't grow with the data, as a set number of them would."""
+    return df.repartition(-(-groups // 2), *keys)
+
+
 def opened(t: pa.Table) -> pa.Table:
     """The rows in all bundles; t has some."""
     return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in t["bundle"]])

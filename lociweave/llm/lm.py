@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import buffer_of, materialize, mix, ship_code, slices, word_hashes
-from .exchange import BUNDLES, BUNDLES_SQL, Route, bucket_of, chunk_of, opened, pack, parts, split, table, unpack
+from .exchange import BUNDLES, BUNDLES_SQL, Route, bucket_of, chunk_of, opened, pack, parts, split, spread, table, unpack
 
 START, END = np.uint64(0x51A7C0DE51A7C0DE), np.uint64(0xE0DE0DE0E0DE0DE1)
 _FIRST, _SECOND = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
@@ -195,8 +195,9 @@ def score(docs: DataFrame, folds: int = 10) -> DataFrame:
     key, text_hash = F.col("doc_id").cast("long"), F.xxhash64("text")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == 0, F.lit(False))
     src = docs.select(key.alias("doc_id"), text_hash.alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"), held.alias("held"), chunk_of(chunks, key, text_hash).alias("chunk"))
+    src = spread(src, chunks, "chunk")
     asked = route.relay(src.groupBy("chunk").applyInArrow(lambda t: route.bundle(ask(t)), BUNDLES_SQL))
-    answers = materialize(asked.groupBy("p").applyInArrow(_answer(back), _ANSWER_SQL))
+    answers = materialize(spread(asked, buckets, "p").groupBy("p").applyInArrow(_answer(back), _ANSWER_SQL))
     size = answers.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n, v = size["n"] or 0, size["v"] or 0
     replies = answers.select("p", "q", "bundle")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BASE, INVERSE, buffer_of, materialize, mix, powers, prefix_sums, range_hash, ship_code, slices
-from .exchange import BUNDLES, BUNDLES_SQL, Route, bucket_of, chunk_of, opened, pack, parts, split, table, unpack
+from .exchange import BUNDLES, BUNDLES_SQL, Route, bucket_of, chunk_of, opened, pack, parts, split, spread, table, unpack
 
 GRAM = 16
 SUB = 8  # a bucket of contexts is worked off in as many parts, to bound memory
@@ -306,15 +306,16 @@ def find(docs: DataFrame, length: int = 50, with_text: bool = False) -> DataFram
     back = route.back()
     key, text_hash = F.col("doc_id").cast("long"), F.xxhash64("text")
     src = docs.select(key.alias("doc_id"), text_hash.alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"), chunk_of(chunks, key, text_hash).alias("chunk"))
+    src = spread(src, chunks, "chunk")
     ask, share, send, least, mark = _ask(length, n), _shared, _send(length, n), _least(length), _mark(length, with_text)
     asked = route.relay(src.groupBy("chunk").applyInArrow(lambda t: route.bundle(ask(t)), BUNDLES_SQL))
-    shared = materialize(back.relay(asked.groupBy("p").applyInArrow(lambda t: back.bundle(share(opened(t))), BUNDLES_SQL)))
+    shared = materialize(back.relay(spread(asked, n, "p").groupBy("p").applyInArrow(lambda t: back.bundle(share(opened(t))), BUNDLES_SQL)))
 
     def sends(d: pa.Table, r: pa.Table) -> pa.Table:
         return route.bundle(send(d, opened(r))) if d.num_rows and r.num_rows else BUNDLES.empty_table()
 
     sent = route.relay(src.groupBy("chunk").cogroup(shared.groupBy("p")).applyInArrow(sends, BUNDLES_SQL))
-    replies = materialize(back.relay(sent.groupBy("p").applyInArrow(lambda t: back.bundle(least(opened(t))), BUNDLES_SQL)))
+    replies = materialize(back.relay(spread(sent, n, "p").groupBy("p").applyInArrow(lambda t: back.bundle(least(opened(t))), BUNDLES_SQL)))
     both = shared.withColumn("kind", F.lit(0)).unionByName(replies.withColumn("kind", F.lit(1)))
 
     def finish(d: pa.Table, r: pa.Table) -> pa.Table:
