@@ -1,7 +1,7 @@
 """Annotation of regions by interval joins: names with any overlap, names that cover, those that don't, or the nearest.
 
 Regions and annotations are half-open. Bins have levels of eightfold width. An interval's level is the first whose bins are as
-wide as it, so that it touches two at most there and on all wider levels; a pair meets on the wider of its levels, on (chrom, strand,
+wide as it, so that it touches two at most there and on all wider levels, of which only those are used that the other side has; a pair meets on the wider of its levels, on (chrom, strand,
 level, bin), whether it is a base in a chromosome or the other way round, and no interval is cut in many pieces. A pair that shares both
 bins is taken in the first of them only, so nothing has to be made distinct. Where "nearest" asks for the annotation before or behind a place, the gaps between breakpoints tile
 the line, and the question is a lookup of a point in an interval: no sort of all regions, no partition per chromosome.
@@ -57,9 +57,18 @@ def _level(start: Column, end: Column) -> Column:
     return out
 
 
-def _levels(df: DataFrame, start: str, end: str) -> list[int]:
-    """The levels that there are, ten at most."""
-    return sorted(df.where(F.col(start) < F.col(end)).agg(F.collect_set(_level(F.col(start), F.col(end))).alias("x")).first()["x"])
+def _levels(df: DataFrame, start: str, end: str) -> tuple[list[int], int]:
+    """The levels that there are, ten at most, and the number of intervals that aren't empty."""
+    r = df.where(F.col(start) < F.col(end)).agg(F.collect_set(_level(F.col(start), F.col(end))).alias("x"), F.count("*").alias("n")).first()
+    return sorted(r["x"]), r["n"]
+
+
+#: Rows with bins that may be sent to all executors; more are shuffled, whatever size Spark takes them for: it doesn't see that a row becomes several.
+BROADCAST_ROWS = 100_000
+
+
+def _sized(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df.hint("merge")
 
 
 def _bins(start: Column, end: Column, levels) -> Column:
@@ -70,27 +79,28 @@ def _bins(start: Column, end: Column, levels) -> Column:
     return F.explode(F.flatten(F.array(*[F.when(own == k if k not in levels else own <= k, at(k)).otherwise(none) for k in LEVELS])))
 
 
-def overlap_join(regions: DataFrame, idx: DataFrame, levels: list[int], start: str, end: str) -> DataFrame:
-    """Rows of regions (with strand + or -) and of idx that overlap; an empty region overlaps nothing. levels: those of idx."""
+def overlap_join(regions: DataFrame, idx: DataFrame, wider: list[int], start: str, end: str) -> DataFrame:
+    """Rows of regions (with strand + or -) and of idx that overlap; an empty region overlaps nothing. wider: the levels of regions, so that idx is put in bins of no others."""
+    levels, n = _levels(idx, "s", "e")
     left = regions.where(F.col(start) < F.col(end)).withColumn("_l", _level(F.col(start), F.col(end))).withColumn("_b", _bins(F.col(start), F.col(end), levels))
-    right = idx.select(*[F.col(c).alias(f"x_{c}") for c in idx.columns], _level(F.col("s"), F.col("e")).alias("x_l"), _bins(F.col("s"), F.col("e"), LEVELS).alias("x_b"))
+    right = idx.select(*[F.col(c).alias(f"x_{c}") for c in idx.columns], _level(F.col("s"), F.col("e")).alias("x_l"), _bins(F.col("s"), F.col("e"), wider).alias("x_b"))
     left = left.withColumns({"_k": F.col("_b.k"), "_bin": F.col("_b.bin")}).drop("_b")
     right = right.withColumns({"x_k": F.col("x_b.k"), "x_bin": F.col("x_b.bin")}).drop("x_b")
     first = F.greatest(F.col(start), F.col("x_s"))
     on = (F.col("chrom") == F.col("x_chrom")) & (F.col("strand") == F.col("x_strand")) & (F.col("_k") == F.col("x_k")) & (F.col("_bin") == F.col("x_bin"))
     met = F.col("_k") == F.greatest("_l", "x_l")
     hit = (F.col("x_s") < F.col(end)) & (F.col("x_e") > F.col(start)) & (F.call_function("shiftright", first, 4 + 3 * F.col("_k")) == F.col("_bin"))
-    return left.join(right, on & met & hit).drop("_l", "_k", "_bin", "x_l", "x_k", "x_bin", "x_chrom", "x_strand")
+    return left.join(_sized(right, 2 * n * (1 + len(wider))), on & met & hit).drop("_l", "_k", "_bin", "x_l", "x_k", "x_bin", "x_chrom", "x_strand")
 
 
 def _point_join(points: DataFrame, at: str, gaps: DataFrame) -> DataFrame:
     """Rows of points and the one row of gaps (chrom, strand, lo, hi, ...) with lo <= at < hi. A gap is sought on its own level only."""
-    levels = _levels(gaps, "lo", "hi")
+    levels, n = _levels(gaps, "lo", "hi")
     place = F.array(*[F.struct(F.lit(k).alias("k"), F.shiftright(F.col(at), 4 + 3 * k).alias("bin")) for k in levels]) if levels else F.array().cast("array<struct<k:int,bin:int>>")
     left = points.withColumn("_b", F.explode(place)).withColumns({"_k": F.col("_b.k"), "_bin": F.col("_b.bin")}).drop("_b")
     right = gaps.select(*[F.col(c).alias(f"g_{c}") for c in gaps.columns], _bins(F.col("lo"), F.col("hi"), ()).alias("g_b")).withColumns({"g_k": F.col("g_b.k"), "g_bin": F.col("g_b.bin")}).drop("g_b")
     on = (F.col("chrom") == F.col("g_chrom")) & (F.col("strand") == F.col("g_strand")) & (F.col("_k") == F.col("g_k")) & (F.col("_bin") == F.col("g_bin"))
-    return left.join(right, on & (F.col(at) >= F.col("g_lo")) & (F.col(at) < F.col("g_hi"))).drop("_k", "_bin", "g_k", "g_bin", "g_chrom", "g_strand")
+    return left.join(_sized(right, 2 * n), on & (F.col(at) >= F.col("g_lo")) & (F.col(at) < F.col("g_hi"))).drop("_k", "_bin", "g_k", "g_bin", "g_chrom", "g_strand")
 
 
 def _once(df: DataFrame) -> DataFrame:
@@ -138,7 +148,7 @@ def annotate(regions: DataFrame, annotations: DataFrame, mode: str = "inclusive"
         raise ValueError(mode)
     idx = index(annotations, order or ["line_no"])
     idx = _once(idx) if mode == "nearest" else idx
-    levels = _levels(idx, "s", "e")
+    wider, _ = _levels(regions, start, end)
     keys = regions.columns
     copies = regions.groupBy(*keys).agg(F.count("*").alias("_copies"))
     q = copies.withColumn("_strand", F.lit("*") if no_strand else F.col("strand"))
@@ -148,7 +158,7 @@ def annotate(regions: DataFrame, annotations: DataFrame, mode: str = "inclusive"
     pair = F.struct(F.col("x_sym").alias("sym"), F.col("x_name").alias("name"))
     by = [*key, "_copies"]
     if mode in ("inclusive", "nearest"):
-        got = overlap_join(each, idx, levels, "b", "t").groupBy(*by).agg(F.collect_set(pair).alias("h"))
+        got = overlap_join(each, idx, wider, "b", "t").groupBy(*by).agg(F.collect_set(pair).alias("h"))
     else:
         isl = islands(idx)
         last = F.broadcast(idx.groupBy(F.col("chrom").alias("l_chrom"), F.col("strand").alias("l_strand")).agg(F.max("e").alias("last")))
@@ -156,7 +166,7 @@ def annotate(regions: DataFrame, annotations: DataFrame, mode: str = "inclusive"
         if legacy_tail:
             each = each.join(last, (F.col("chrom") == F.col("l_chrom")) & (F.col("strand") == F.col("l_strand")), "left").drop("l_chrom", "l_strand")
             reach = F.least("t", "last")
-        over = overlap_join(each, isl, _levels(isl, "s", "e"), "b", "t")
+        over = overlap_join(each, isl, wider, "b", "t")
         full = (F.col("x_s") <= F.col("b")) & (F.col("x_e") >= reach)
         got = over.where(full if mode == "covered" else ~full)
         # An island that covers a region is the only one of its name that touches it, so "not covering" may be asked of each.

@@ -119,3 +119,15 @@ def test_intervals_of_all_lengths(spark):
     want = {x[0]: [y[0] for y in rows[::2] if y[3] < x[4] and y[4] > x[3] and set(strands(x[2])) & set(strands(y[2]))] for x in rows[1::2]}
     got = {x.name: list(x.hits) for x in intervals.annotate(regions, annotations).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("mode", intervals.MODES)
+def test_many_annotations_are_not_broadcast(spark, mode):
+    """Spark takes them for small, as it doesn't see that a row becomes one for each of its bins."""
+    annotations = spark.sql("select concat('n', id % 3) name, 'c' chrom, '*' strand, cast(id * 40 as int) a_start, cast(id * 40 + 20 as int) a_end, cast(id as int) line_no from range(40000)")
+    regions = spark.sql("select concat('r', id) name, 'c' chrom, '+' strand, cast(id * 2000 as int) r_start, cast(id * 2000 + 10 as int) r_end from range(50)")
+    df = intervals.annotate(regions, annotations, mode)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert [x for x in plan.split("\n") if "Join Inner" in x and "_bin" in x and "strategy=merge" in x]
+    assert df.count() == 50
+    assert {len(r.hits) for r in df.collect()} == ({0} if mode == "partial" else {1})
