@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
@@ -60,11 +64,44 @@ def range_scan(df: DataFrame, which: str) -> DataFrame:
     return df.where("rname_id is null") if r == "U" else df.where(F.col("rname_id").between(*r))
 
 
+#: Rows of a stretch in run_ids.
+STRETCH = 200_000
+
+
 def run_ids(df: DataFrame, key: str, order: list[str], within: list[str]) -> DataFrame:
-    """Adds run: the number, within ``within``, of the run of adjacent records with one key."""
-    w = Window.partitionBy(*within).orderBy(*order)
-    new = F.when(F.lag(key).over(w).isNull() | ~F.lag(key).over(w).eqNullSafe(F.col(key)), 1).otherwise(0)
-    return df.withColumn("_new", new).withColumn("run", F.sum("_new").over(w)).drop("_new")
+    """Adds run: the number, within ``within``, of the run of adjacent records with one key.
+
+    The first column of ``order``, if it is a number, is cut in stretches at its quantiles. Runs are numbered in each stretch by itself;
+    then one row of each stretch says how many runs there were before, so that no task has all records of a group.
+    """
+    cuts = []
+    if isinstance(df.schema[order[0]].dataType, T.NumericType):
+        n = min(-(-df.count() // STRETCH), 10_000)
+        if n > 1:
+            cuts = df.agg(F.percentile_approx(order[0], [i / n for i in range(1, n)], 10 * n)).first()[0]
+    cuts = sorted({float(c) for c in cuts or []})
+    df = _stretch(df, order[0], cuts)
+    w = Window.partitionBy(*within, "_at").orderBy(*order)
+    new = F.when(F.row_number().over(w) == 1, 0).when(F.lag(key).over(w).eqNullSafe(F.col(key)) & F.col(key).isNotNull(), 0).otherwise(1)
+    local = df.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w))
+    ends = local.groupBy(*within, "_at").agg(F.min_by(F.struct(F.col(key).alias("k")), F.struct(*order)).alias("_a"), F.max_by(F.struct(F.col(key).alias("k")), F.struct(*order)).alias("_z"), F.max("_run").alias("_n"))
+    v = Window.partitionBy(*within).orderBy("_at")
+    same = F.coalesce(F.lag("_z.k").over(v) == F.col("_a.k"), F.lit(False))
+    ends = ends.withColumn("_joins", F.when(same, 0).otherwise(1))
+    before = F.sum(F.col("_joins") + F.col("_n")).over(v) - F.col("_n")
+    ends = F.broadcast(ends.select(*[F.col(c).alias(f"_w{i}") for i, c in enumerate(within)], F.col("_at").alias("_to"), before.alias("_before")))  # a row for each stretch
+    on = F.col("_at") == F.col("_to")
+    for i, c in enumerate(within):
+        on = on & F.col(c).eqNullSafe(F.col(f"_w{i}"))
+    return local.join(ends, on).withColumn("run", F.col("_before") + F.col("_run")).drop("_at", "_to", "_new", "_run", "_before", *[f"_w{i}" for i in range(len(within))])
+
+
+def _stretch(df: DataFrame, column: str, cuts: list[float]) -> DataFrame:
+    """Adds _at: how many cuts lie at or below the value; -1 for null, which comes first."""
+    if not cuts:
+        return df.withColumn("_at", F.lit(0))
+    found = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="_x", outputCol="_at", handleInvalid="keep").transform(df.withColumn("_x", F.col(column).cast("double")))
+    return found.withColumn("_at", F.when(F.col("_x").isNull(), -1).otherwise(F.col("_at").cast("int"))).drop("_x")
 
 
 def count_groups(df: DataFrame, key: str) -> DataFrame:
