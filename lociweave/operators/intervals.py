@@ -103,7 +103,7 @@ def _point_join(points: DataFrame, at: str, gaps: DataFrame) -> DataFrame:
     return left.join(_sized(right, 2 * n), on & (F.col(at) >= F.col("g_lo")) & (F.col(at) < F.col("g_hi"))).drop("_k", "_bin", "g_k", "g_bin", "g_chrom", "g_strand")
 
 
-def _once(df: DataFrame) -> DataFrame:
+def once(df: DataFrame) -> DataFrame:
     """df, computed once however often it is used: written to the checkpoint folder that the cluster names, or kept in memory and on disk where none is named."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -147,7 +147,7 @@ def annotate(regions: DataFrame, annotations: DataFrame, mode: str = "inclusive"
     if mode not in MODES:
         raise ValueError(mode)
     idx = index(annotations, order or ["line_no"])
-    idx = _once(idx) if mode == "nearest" else idx
+    idx = once(idx) if mode == "nearest" else idx
     wider, _ = _levels(regions, start, end)
     keys = regions.columns
     copies = regions.groupBy(*keys).agg(F.count("*").alias("_copies"))
@@ -174,7 +174,7 @@ def annotate(regions: DataFrame, annotations: DataFrame, mode: str = "inclusive"
     out = q.join(got.drop("_copies"), key, "left").select(*key, "_copies", "chrom", "strand", "b", "t", F.coalesce("h", F.array().cast(got.schema["h"].dataType)).alias("h"))
     near, distance = F.lit(None).cast("string"), F.lit(None).cast("int")
     if mode == "nearest":
-        out = _once(out)  # five branches follow
+        out = once(out)  # five branches follow
         missed = expand_strand(out.where(F.size("h") == 0).select(*key, "chrom", "strand", "b", "t"))
         left, last, right, first = _neighbours(idx)
         before = F.struct((F.col("g_p") - F.col("b")).alias("d"), F.col("g_who.sym").alias("sym"), F.col("g_who.name").alias("name"))

@@ -128,6 +128,7 @@ def translate_regions(spark, d):
 # ---- Duplicates ----------------------------------------------------------------------------------------
 
 _ORDER = ["qname", "ord"]
+_BEST, _COUNTED = ["qname", "ord", "mapq"], ["library", "flag", "mapq"]
 _KEY = """k AS (SELECT *, CASE WHEN rg = 'RG0' THEN 'libA' WHEN rg = 'RG1' THEN 'libB' WHEN rg = 'RG2' THEN 's2' END AS library,
   flag & 1 <> 0 AND flag & 4 = 0 AND flag & 8 = 0 AND mpos >= 0 AS two FROM reads WHERE NOT (flag & 4 <> 0 AND flag & 8 <> 0) AND rname_id IS NOT NULL),
 c AS (SELECT *, concat_ws('/', {library}, rname_id, {strand}, CASE WHEN two THEN concat_ws('/', 'p', least(pos, mpos), greatest(pos, mpos), coalesce(mrnm_id, -1), flag & 192) ELSE concat_ws('/', 's', pos) END) AS key FROM k)"""
@@ -144,7 +145,7 @@ def _keyed(spark, d, ignore_strand: bool = False, ignore_rg: bool = False, seque
 
 @query(_sql_key() + " SELECT library, CAST(size AS BIGINT) AS size, count(*) AS clusters FROM (SELECT library, key, count(*) AS size FROM c GROUP BY library, key) GROUP BY ALL")
 def dedup_clusters(spark, d):
-    c = dedup.collapse_cheap(_keyed(spark, d), _ORDER)
+    c = dedup.collapse_cheap(_keyed(spark, d), _ORDER, ["library"])
     return c.groupBy("library", F.col("xp").alias("size")).agg(F.count("*").alias("clusters"))
 
 
@@ -154,7 +155,7 @@ _CHEAP = " SELECT qname, ord, mapq, xp FROM (SELECT qname, ord, mapq, count(*) O
 @query(_sql_key().replace("FROM reads", "FROM sequences") + _CHEAP.replace("ORDER BY mapq", "ORDER BY list_sum(list_transform(string_split(qual, ''), lambda x: ascii(x) - 33)) DESC, mapq"))
 def dedup_cheap(spark, d):
     """The best by sum of qualities, then by mapping quality."""
-    return dedup.collapse_cheap(_keyed(spark, d, sequences=True), _ORDER).select("qname", "ord", "mapq", "xp")
+    return dedup.collapse_cheap(_keyed(spark, d, sequences=True), _ORDER, _BEST).select("qname", "ord", "mapq", "xp")
 
 
 @query("""WITH k AS (SELECT *, CASE WHEN rg = 'RG0' THEN 'libA' WHEN rg = 'RG1' THEN 'libB' ELSE 's2' END AS library, flag & 1 <> 0 AND flag & 4 = 0 AND flag & 8 = 0 AND mpos >= 0 AS two,
@@ -166,7 +167,7 @@ def dedup_merged(spark, d):
     df = records(spark, d, True)
     df = df.withColumn("tags", F.when((F.col("xm") % 2 == 0) & (F.col("flag").bitwiseAND(1) == 0), S.put_tags(F.col("tags"), {"FF": S.tag_int(F.lit(S.MERGED))})).otherwise(F.col("tags")))
     df = dedup.with_key(dedup.label(dedup.clean(df, improper=True), view(spark, d, "read_groups")))
-    return dedup.collapse_cheap(df, _ORDER).select("qname", "ord", "mapq", "xp")
+    return dedup.collapse_cheap(df, _ORDER, _BEST).select("qname", "ord", "mapq", "xp")
 
 
 @query(_sql_key().replace("FROM reads", "FROM (SELECT * FROM reads WHERE NOT (flag & 4 <> 0 AND xm % 3 = 0))") + ", o AS (SELECT qname, ord, row_number() OVER (PARTITION BY key ORDER BY mapq DESC, qname, ord) AS n FROM c) SELECT qname, ord FROM o WHERE n = 1 UNION ALL SELECT qname, ord FROM reads WHERE flag & 4 <> 0 AND xm % 3 = 0")
@@ -183,12 +184,12 @@ def _unmapped_mate():
 
 @query(_sql_key(strand="0") + _CHEAP)
 def dedup_no_strand(spark, d):
-    return dedup.collapse_cheap(_keyed(spark, d, ignore_strand=True), _ORDER).select("qname", "ord", "mapq", "xp")
+    return dedup.collapse_cheap(_keyed(spark, d, ignore_strand=True), _ORDER, _BEST).select("qname", "ord", "mapq", "xp")
 
 
 @query(_sql_key(library="'x'") + _CHEAP)
 def dedup_ignore_rg(spark, d):
-    return dedup.collapse_cheap(_keyed(spark, d, ignore_rg=True), _ORDER).select("qname", "ord", "mapq", "xp")
+    return dedup.collapse_cheap(_keyed(spark, d, ignore_rg=True), _ORDER, _BEST).select("qname", "ord", "mapq", "xp")
 
 
 @query(_sql_key() + " SELECT qname, ord, CASE WHEN row_number() OVER (PARTITION BY key ORDER BY mapq DESC, qname, ord) > 1 THEN flag | 1024 ELSE flag END AS flag FROM c")
@@ -204,7 +205,7 @@ def dedup_shadowed_singles(spark, d):
 @query(_sql_key() + """, s AS (SELECT count(*) AS n FROM c GROUP BY key), h AS (SELECT n, count(*) AS c FROM s WHERE n < 1024 GROUP BY n)
 SELECT CAST(g.n AS INT) AS n, coalesce(h.c, 0) AS clusters FROM (SELECT unnest(range(0, (SELECT max(n) + 1 FROM h))) AS n) g LEFT JOIN h USING (n)""")
 def dedup_histogram(spark, d):
-    return dedup.histogram(dedup.collapse_cheap(_keyed(spark, d), _ORDER))
+    return dedup.histogram(dedup.collapse_cheap(_keyed(spark, d), _ORDER, []))
 
 
 _COUNTS = (_sql_key() + """, o AS (SELECT *, count(*) OVER (PARTITION BY key) AS xp, row_number() OVER (PARTITION BY key ORDER BY mapq DESC, qname, ord) AS n FROM c),
@@ -215,7 +216,7 @@ t AS (SELECT library, CAST(sum(w * xp) // 2 AS BIGINT) AS n_in, CAST(sum(w) // 2
 
 @query(_COUNTS + " SELECT * FROM t")
 def dedup_library_counts(spark, d):
-    return dedup.library_counts(dedup.collapse_cheap(_keyed(spark, d), _ORDER))
+    return dedup.library_counts(dedup.collapse_cheap(_keyed(spark, d), _ORDER, _COUNTED))
 
 
 @query(_COUNTS.replace("WITH ", "WITH RECURSIVE ", 1) + """, b(library, i, lo, hi) AS (
@@ -225,7 +226,7 @@ def dedup_library_counts(spark, d):
 e AS (SELECT library, out_mq20 / (1 - exp(-lo)) AS est FROM b JOIN t USING (library) WHERE i = 200)
 SELECT library, n_in, n_out, CAST(round(est * n_out / out_mq20) AS BIGINT) AS molecules, CAST(round(est * n_out / out_mq20 - n_out) AS BIGINT) AS unseen, CAST(round(10000 * out_mq20 / est) AS BIGINT) AS exhausted_bp FROM t LEFT JOIN e USING (library)""")
 def dedup_complexity(spark, d):
-    c = dedup.complexity(dedup.library_counts(dedup.collapse_cheap(_keyed(spark, d), _ORDER)))
+    c = dedup.complexity(dedup.library_counts(dedup.collapse_cheap(_keyed(spark, d), _ORDER, _COUNTED)))
     return c.select("library", "n_in", "n_out", F.round("molecules").cast("long").alias("molecules"), F.round("unseen").cast("long").alias("unseen"), F.round(100 * F.col("exhausted_pct")).cast("long").alias("exhausted_bp"))
 
 
@@ -309,8 +310,8 @@ def annotate_summary(spark, d):
 
 
 def _pairs(spark, d) -> DataFrame:
-    df = records(spark, d).withColumn("length", F.col("seq_len"))
-    return pairing.pair(df.drop("tags"), ["ord"])
+    df = records(spark, d).select("qname", "ord", "flag", "rname_id", "pos", "mrnm_id", "mpos", "isize", F.col("seq_len").alias("length"))
+    return pairing.pair(df, ["ord"])
 
 
 _ALONE = "flag & 1 <> 0 AND NOT EXISTS (SELECT 1 FROM reads m WHERE m.qname = r.qname AND m.ord <> r.ord)"
@@ -460,19 +461,28 @@ def circular_lengths(spark, d):
 @query("SELECT qname, ord, CAST(row_number() OVER (PARTITION BY rname_id ORDER BY pos, qname, ord) AS INT) AS place FROM reads")
 def sort_coordinate(spark, d):
     """The place of each record within its reference, by the order in which the sort returns them."""
-    return _places(sampling.sort_records(records(spark, d), "qname", "ord")).select("qname", "ord", "place")
+    return _places(sampling.sort_records(records(spark, d), "qname", "ord").select("qname", "ord", "rname_id")).select("qname", "ord", "place")
 
 
 def _places(df: DataFrame) -> DataFrame:
-    """Adds place: the row's number within its reference as the rows come, partition after partition."""
-    return df.withColumn("_came", F.monotonically_increasing_id()).withColumn("place", F.row_number().over(Window.partitionBy("rname_id").orderBy("_came")))
+    """Adds place: the row's number within its reference as the rows come, partition after partition; rows of a reference must come together.
+
+    A row's id is its partition and its number there, so that the first id of each partition and reference is enough: no task has a whole reference.
+    """
+    came = intervals.once(df.withColumn("_came", F.monotonically_increasing_id()))
+    part = F.shiftright("_came", 33)
+    firsts = came.groupBy(F.col("rname_id").alias("_r"), part.alias("_p")).agg(F.min("_came").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_r").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    firsts = F.broadcast(firsts.select("_r", "_p", "_first", before.alias("_before")))  # partitions and references
+    placed = came.join(firsts, F.col("rname_id").eqNullSafe(F.col("_r")) & (part == F.col("_p")))
+    return placed.withColumn("place", (F.col("_before") + F.col("_came") - F.col("_first") + 1).cast("int")).drop("_r", "_p", "_first", "_before")
 
 
 @query("SELECT qname, ord, rname_id, pos, CASE WHEN flag & 16 <> 0 THEN 1 ELSE 0 END AS file_ordinal, CAST(row_number() OVER (PARTITION BY rname_id ORDER BY pos, qname, ord) AS INT) AS place FROM reads")
 def merge_coordinate(spark, d):
     df = records(spark, d)
     merged = sampling.merge([df.where(~S.bit(F.col("flag"), S.REVERSED)), df.where(S.bit(F.col("flag"), S.REVERSED))], "qname", "ord")
-    return _places(merged).select("qname", "ord", "rname_id", "pos", "file_ordinal", "place")
+    return _places(merged.select("qname", "ord", "rname_id", "pos", "file_ordinal")).select("qname", "ord", "rname_id", "pos", "file_ordinal", "place")
 
 
 @query("SELECT r.qname, ord FROM reads r JOIN (SELECT qname FROM reads GROUP BY qname ORDER BY md5(qname), qname LIMIT 500) s ON r.qname = s.qname")

@@ -12,7 +12,7 @@ from .. import schema as S
 from ..fixtures import records, view
 from ..operators import dedup, merging, pairing, rewrite, sampling
 from ..sources import bam, fastq, sinks, text
-from .queries import _COUNTS, _REPAIR, _keyed, _ORDER, _pairs, query
+from .queries import _COUNTED, _COUNTS, _REPAIR, _keyed, _ORDER, _pairs, query
 
 
 def _scratch(spark: SparkSession) -> str:
@@ -209,7 +209,7 @@ def _file(df: DataFrame) -> DataFrame:
 @query(f"{_COUPLES} SELECT qname, {_NUMBER} AS rec_no, seq AS first, oseq AS second FROM m WHERE flag & 64 <> 0")
 def zip_mates(spark, d):
     """Two files in step."""
-    pairs = pairing.pair(records(spark, d, True), ["ord"]).where("kind = 'pair'")
+    pairs = pairing.pair(records(spark, d, True).select("qname", "ord", "flag", "seq"), ["ord"]).where("kind = 'pair'")
     both = fastq.zip_mates(_file(pairs.select("r1.*")), _file(pairs.select("r2.*")))
     return both.select("r1.qname", "r1.rec_no", F.col("r1.seq").alias("first"), F.col("r2.seq").alias("second"))
 
@@ -260,7 +260,7 @@ def pair_repair_lines(spark, d):
 e AS (SELECT library, out_mq20 / (1 - exp(-lo)) * n_out / out_mq20 AS grand, 100 * out_mq20 / (out_mq20 / (1 - exp(-lo))) AS used FROM b JOIN t USING (library) WHERE i = 200)
 SELECT concat_ws(chr(9), library, n_in, n_out, out_mq20, single_mq20, coalesce(printf('%.0f', grand - n_out), 'N/A'), coalesce(printf('%.0f', grand), 'N/A'), printf('%.1f', 100 * n_out / n_in), coalesce(printf('%.1f', used), 'N/A')) AS line FROM t LEFT JOIN e USING (library)""")
 def report_lines(spark, d):
-    return dedup.report_lines(dedup.complexity(dedup.library_counts(dedup.collapse_cheap(_keyed(spark, d), _ORDER))))
+    return dedup.report_lines(dedup.complexity(dedup.library_counts(dedup.collapse_cheap(_keyed(spark, d), _ORDER, _COUNTED))))
 
 
 @query("SELECT '#RegionName' || chr(9) || 'ID' AS value UNION ALL SELECT r.name || chr(9) || h FROM regions r JOIN (SELECT rn, string_agg(name, ':' ORDER BY sym) AS h FROM (SELECT DISTINCT r.name AS rn, a.name, sym FROM regions r JOIN (SELECT *, min(line_no) OVER (PARTITION BY name) AS sym FROM annotations) a ON a.chrom = r.chrom AND a_start < r_end AND a_end > r_start) GROUP BY rn) ON rn = r.name")
